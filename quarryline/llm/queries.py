@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import simhash
+from quarryline.llm import decontaminate, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,18 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_near_dedup")
 def op1(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op6_mix_sources")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(table(spark, d, "documents"))
+
+
+@query("op9_decontaminate")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op10_shard_hash_tree")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard(table(spark, d, "documents"))
