@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, mixing, sharding, simhash
+from quarryline.llm import decontaminate, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_shard_hash_tree")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard(table(spark, d, "documents"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))

@@ -138,7 +138,7 @@ def test_decontaminate_odd_rows(spark):
     assert decontaminate.report(docs.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.report(docs, bench.limit(0)).collect())
     cut = {r.doc_id: r.text for r in decontaminate.redact(docs, bench).collect()}
-    assert cut[8] == "a " and cut[5] == "" and cut[9] == "A  m" and cut[6] == "é ü \x85  x"
+    assert cut[8] == "a " and cut[5] == "" and cut[9] == "A  m" and cut[6] == ODD[7][1]
     assert decontaminate.redact(docs, bench).columns == docs.columns
 
 
