@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from quarryline.llm.common import cut, small_batches
 
-#: Characters of the longest context and the one predicted after it.
-ORDER = 6
-DISCOUNT = 0.75
+#: Characters of context at each level of the models.
+CONTEXTS = (0, 1, 2, 4, 7)
+#: What is discounted from counts of one, of two, and above.
+DISCOUNTS = (1.0, 1.4, 1.7)
+FEATURES = 6
 #: Labelled documents of each class that the models are fitted on at most.
-SAMPLE = 3000
-#: Different words of a class's sample that are kept at most: the most frequent ones.
-WORDS = 400_000
+SAMPLE = 2500
+#: Different words of the sample that the models are built from at most; beyond it the smallest hashes,
+#: since the most frequent ones would favour what copies repeat.
+WORDS = 600_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,101 +35,136 @@ def tokens(text: bytes | None) -> list[bytes]:
 def _spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All characters (bytes) of the words, each word between a start and an end mark; word numbers.
 
-    The start mark is 1 and the end mark is 2, which no token holds... a token has no byte below 3
-    but control characters, which are taken as 3.
+    The marks are the bytes 1 and 2. A control character of the same value in a word changes only how
+    that word is spelt to the models, the same way in training and scoring.
     """
     joined = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in words), np.uint8)
     number = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     return joined, number
 
 
-def _grams(words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order 1 .. ORDER: hashes of context and of context with character, at every character
-    but the start marks; a context reaches back to the start mark at most. And the word numbers."""
+def _grams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of CONTEXTS: hashes of context and of context with character, at every character but the
+    start marks, and the word numbers. A context reaches back to the start mark at most."""
     chars, number = _spelling(words)
     n = len(chars)
     start = np.ones(n, bool)
     start[1:] = number[1:] != number[:-1]
     place = np.arange(n) - np.maximum.accumulate(np.where(start, np.arange(n), 0))  # 0 at the start mark
     at = np.flatnonzero(~start)
+    place, number = place[at], number[at]
     context = np.zeros(len(at), np.uint64)
-    contexts, grams = [], []
     wide = chars.astype(np.uint64) + np.uint64(1)
-    for k in range(ORDER):
+    last = wide[at] * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(CONTEXTS[-1] + 1):
         if k:
-            back = np.maximum(at - k, 0)
-            inside = place[at] >= k
-            context = np.where(inside, (context + wide[back]) * _P ^ (context >> np.uint64(29)), context)
-        contexts.append(context)
-        g = (context ^ (wide[at] * np.uint64(0xD6E8FEB86659FD93))) * _P
-        grams.append(g ^ (g >> np.uint64(31)))
-    return contexts, grams, number[at]
+            back = wide[np.maximum(at - k, 0)]
+            context = np.where(place >= k, (context + back) * _P ^ (context >> np.uint64(29)), context)
+        if k in CONTEXTS:
+            g = (context ^ last) * _P
+            yield context, g ^ (g >> np.uint64(31)), number
 
 
 class _Table:
-    """Sums by hash, looked up by binary search; 0 where a hash is absent."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
-        self.keys, where = np.unique(keys, return_inverse=True)
-        self.values = np.bincount(where, weights=values, minlength=len(self.keys)).astype(np.float32)
+    """Columns of sums by hash in an open-addressed table, half empty; zeros where a hash is absent."""
+
+    def __init__(self, keys: np.ndarray, columns: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(len(keys) * 2).bit_length())) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.values = np.zeros((len(self.keys), columns.shape[1]), np.float32)
+        slot, left = keys & self.mask, np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            mine, first = np.unique(slot[left[free]], return_index=True)
+            put = left[free][first]
+            self.keys[mine], self.values[mine] = keys[put], columns[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> _Table:
+        self = cls.__new__(cls)
+        self.keys, self.values, self.mask = keys, values, np.uint64(len(keys) - 1)
+        return self
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.float32)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.values[i], 0).astype(np.float32)
+        out = np.zeros((len(keys), self.values.shape[1]), np.float32)
+        slot, left = keys & self.mask, np.arange(len(keys))
+        while len(left):
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (there != 0)]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+        return out
+
+
+def _tables(gram: np.ndarray, context: np.ndarray, weight: np.ndarray) -> tuple[_Table, _Table]:
+    """For each column of weights: by gram its count less the discount, and by context the count and what
+    is discounted after it."""
+    g, first, where = np.unique(gram, return_index=True, return_inverse=True)
+    count = np.stack([np.bincount(where, weights=w, minlength=len(g)) for w in weight.T], axis=1)
+    off = _discount(count)
+    c, where = np.unique(context[first], return_inverse=True)
+    total, given = (np.stack([np.bincount(where, weights=w, minlength=len(c)) for w in x.T], axis=1) for x in (count, off))
+    return _Table(g, count - off), _Table(c, np.concatenate((total, given), axis=1))
+
+
+def _discount(count: np.ndarray) -> np.ndarray:
+    """What is taken from a count and given to the distribution below; all of a count of one, which
+    says nothing about a class yet."""
+    return np.where(count > 2, DISCOUNTS[2], np.where(count > 1, DISCOUNTS[1], np.minimum(count, DISCOUNTS[0])))
+
+
+def _mixed(above: np.ndarray, total: np.ndarray, off: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return np.where(total > 0, (above + off * below) / np.maximum(total, 1), below)
 
 
 class ClassModels:
-    """Toxic and ordinary models. The longest order has counts of its own for each class; the orders
-    below, which rare spellings fall back on, have Kneser-Ney continuation counts shared by both."""
+    """Toxic and ordinary models of how words are spelt.
+
+    Each class has counts of the longest order of its own; what is discounted from them goes to one
+    distribution that both share: the pooled counts of that order, and below it Kneser-Ney continuation counts.
+    So where a class hasn't seen a rare spelling, both models say the same.
+    """
 
     def __init__(self, counts: dict[bytes, tuple[int, int]]):
         words = list(counts)
         n = np.array([counts[w] for w in words], np.float64).reshape(-1, 2)
-        contexts, grams, number = _grams(words)
-        self.lower = []  # (continuations of a gram, of its context, what is discounted after the context)
-        for k in range(ORDER - 1):
-            # a gram continues as many contexts one longer as there are different ones before it
-            longer, first = np.unique(grams[k + 1], return_index=True)
-            del longer
-            g, c = grams[k][first], contexts[k][first]
-            kinds = np.unique(g, return_index=True)[1]
-            gram = _Table(g)
-            self.lower.append((gram, _Table(c), _Table(c[kinds], _discount(gram(g[kinds])))))
-        self.top = []
-        for y in (0, 1):
-            weight = n[number, y]
-            seen = weight > 0
-            g, c = grams[-1][seen], contexts[-1][seen]
-            gram = _Table(g, weight[seen])
-            kinds = np.unique(g, return_index=True)[1]
-            self.top.append((gram, _Table(c, weight[seen]), _Table(c[kinds], _discount(gram(g[kinds])))))
-        self.alphabet = 256.0
+        self.lower = []
+        before = None
+        for context, gram, number in _grams(words):
+            if before is not None:
+                # a gram counts once for each different context of the next level that it follows
+                first = np.unique(gram, return_index=True)[1]
+                self.lower.append(_tables(before[1][first], before[0][first], np.ones((len(first), 1))))
+            before = context, gram
+        weight = n[number]
+        self.top = _tables(*before[::-1], np.column_stack((weight.sum(axis=1), weight)))
+
+    def dump(self) -> bytes:
+        return pickle.dumps([[(t.keys, t.values) for t in pair] for pair in (*self.lower, self.top)])
+
+    @classmethod
+    def load(cls, blob: bytes) -> ClassModels:
+        self = cls.__new__(cls)
+        *self.lower, self.top = [tuple(_Table.of(*t) for t in pair) for pair in pickle.loads(blob)]
+        return self
 
     def ratio(self, words: list[bytes]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
         if not words:
             return np.zeros(0)
-        contexts, grams, number = _grams(words)
-        p = np.full(len(number), 1 / self.alphabet)
-        for (g, c, off), gram, context in zip(self.lower, grams, contexts, strict=False):
-            p = _mixed(g(gram), c(context), off(context), p)
-        ordinary, toxic = (_mixed(g(grams[-1]), c(contexts[-1]), off(contexts[-1]), p) for g, c, off in self.top)
+        p = None
+        for k, (context, gram, number) in enumerate(_grams(words)):
+            g, c = (*self.lower, self.top)[k]
+            above, total = g(gram), c(context)
+            p = np.full(len(number), 1 / 256, np.float32) if p is None else p
+            p = _mixed(above[:, 0], total[:, 0], total[:, total.shape[1] // 2], p)
+        ordinary, toxic = (_mixed(above[:, y], total[:, y], total[:, 3 + y], p) for y in (1, 2))
         return np.bincount(number, weights=np.log(toxic) - np.log(ordinary), minlength=len(words))
 
 
-def _discount(count: np.ndarray) -> np.ndarray:
-    """What is taken from a count and given to the shared orders below; all of a count of one, which
-    says nothing about a class yet."""
-    return np.where(count > 1, DISCOUNT, np.minimum(count, 1))
-
-
-def _mixed(gram: np.ndarray, context: np.ndarray, off: np.ndarray, below: np.ndarray) -> np.ndarray:
-    total = np.maximum(context, 1)
-    return np.where(context > 0, (gram - _discount(gram)) / total + off / total * below, below)
-
-
 class Scorer:
     """Features and scores of documents, remembering the words seen last."""
 
@@ -132,19 +173,21 @@ class Scorer:
         self.known: dict[bytes, float] = {}
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """Of each text the difference of log-likelihoods per word: over the whole text, in the window
-        of one word, and of three words, where it is largest."""
+        """Of each text the difference of log-likelihoods, by its length and by the root of it, and the
+        means of the 1, 3 and 8 largest differences of different words; and the log of its length, since the
+        largest of many are larger.
+        """
         docs = [tokens(t) for t in texts]
-        if len(self.known) > 300_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         fresh = list({w for d in docs for w in d} - self.known.keys())
         self.known.update(zip(fresh, self.models.ratio(fresh).tolist(), strict=True))
-        out = np.zeros((len(docs), 3))
+        out = np.zeros((len(docs), FEATURES))
         for i, d in enumerate(docs):
             if d:
-                r = np.array([self.known[w] for w in d])
-                three = np.convolve(r, np.ones(3) / 3, "valid").max() if len(r) > 2 else r.mean()
-                out[i] = r.mean(), r.max(), three
+                r = np.fromiter(map(self.known.__getitem__, d), np.float64, len(d))
+                best = np.sort(np.fromiter(map(self.known.__getitem__, set(d)), np.float64))[-8:][::-1]
+                out[i] = r.mean(), r.sum() / np.sqrt(len(r)), best[0], best[:3].sum() / 3, best.sum() / 8, np.log(len(r))
         return out
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -173,17 +216,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return np.concatenate(([w[0]], w[1:] / scale))
 
 
+def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two min-hashes of the five-word shingles of each text, to leave copies out of a sample."""
+    for b in batches:
+        least = []
+        for t in b.column(0).cast(pa.binary()).to_pylist():
+            w = tokens(t)
+            h = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))], np.uint64)
+            least.append((h.min(), (h * _P).min()))
+        both = np.array(least, np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], ["text", "toxic", "half", "s0", "s1"])
+
+
 def held_out(doc_id="doc_id"):
     """Whether labels of a document are kept from training: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Scorer | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> tuple[bytes, np.ndarray] | None:
     """Fit on the labelled documents that are not held out, at most ``sample`` of each class (the
-    smallest hashes of doc_id); None where a class has no document. A document with several labels is
+    smallest hashes of doc_id): the pickled models and the weights of the
+    features; None where a class has no document. A document with several labels is
     toxic if one says so; null ids and labels are ignored.
 
-    Words are counted on the executors. Two halves of the sample score each other for the logistic
+    Words are counted on the executors, once for each document that has them;
+    copies within the sample are left out by min-hashes. Two halves of the sample score each other for the logistic
     weights of the features, so that these come from documents that the models have not seen; the
     final models hold both halves. What reaches the driver is bounded by ``sample`` and ``words``.
     """
@@ -200,13 +257,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     of = lambda y: marked.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(sample)
     picked = of(0).unionByName(of(1)).select(F.col("doc_id").alias("i"), "toxic", (F.pmod("h", F.lit(2))).alias("half"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chosen = cut(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("i")).select("text", "toxic", "half").dropDuplicates(["text", "toxic"]))  # 2 * sample ids
+    found = (texts.join(F.broadcast(picked), F.col("doc_id") == F.col("i")).select("text", "toxic", "half")  # 2 * sample ids
+    )
+
+    chosen = cut(found.mapInArrow(sketch, "text string, toxic int, half long, s0 long, s1 long").dropDuplicates(["s0", "toxic"]).dropDuplicates(["s1", "toxic"]).select("text", "toxic", "half"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [Counter(), Counter(), Counter(), Counter()]
             for t, y, half in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n[2 * half + y].update(tokens(t))
+                n[2 * half + y].update(set(tokens(t)))
             every = list(set().union(*n))
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in n)], ["w", "a", "b", "c", "d"])
 
@@ -214,33 +274,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
         chosen.mapInArrow(count, "w binary, a long, b long, c long, d long")
         .groupBy("w")
         .agg(*(F.sum(c).alias(c) for c in "abcd"))
-        .orderBy(F.desc(F.expr("a + b + c + d")), "w")
+        .orderBy(F.xxhash64("w"), "w")
         .limit(words)
-        .toArrow()
     )
-    w = counted.column(0).to_pylist()
-    a, b, c, d = (counted.column(i).to_numpy() for i in range(1, 5))
-    model = lambda x, y: ClassModels({k: (i, j) for k, i, j in zip(w, x.tolist(), y.tolist(), strict=True) if i or j})
-    halves = (model(c, d), model(a, b))  # each for the other half
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [b for b in batches]
+        w = [x for b in t for x in b.column(0).to_pylist()]
+        a, b, c, d = (np.concatenate([b.column(i).to_numpy() for b in t]) if t else np.zeros(0, np.int64) for i in range(1, 5))
+        for x, y in ((c, d), (a, b), (a + c, b + d)):  # each half for the other one, then both
+            m = ClassModels({k: (i, j) for k, i, j in zip(w, x.tolist(), y.tolist(), strict=True) if i or j})
+            yield pa.RecordBatch.from_arrays([pa.array([m.dump()], pa.binary())], ["m"])
+
+    blobs = [r[0] for r in counted.coalesce(1).mapInArrow(build, "m binary").collect()]  # three models, bounded by ``words``
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(halves)
+    shared = spark.sparkContext.broadcast(blobs[:2])
+
+    names = [f"f{i}" for i in range(FEATURES)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(m) for m in shared.value]
+        scorers = [Scorer(ClassModels.load(m)) for m in shared.value]
         for x in batches:
             t, half = x.column(0).cast(pa.binary()).to_pylist(), x.column(2).to_numpy()
-            f = np.zeros((len(t), 3))
+            f = np.zeros((len(t), FEATURES))
             for h in (0, 1):
                 at = np.flatnonzero(half == h)
                 f[at] = scorers[h].features([t[i] for i in at])
-            yield pa.RecordBatch.from_arrays([x.column(1), *(pa.array(f[:, i]) for i in range(3))], ["y", "f0", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([x.column(1), *(pa.array(f[:, i]) for i in range(FEATURES))], ["y", *names])
 
-    seen = chosen.mapInArrow(describe, "y int, f0 double, f1 double, f2 double").orderBy("y", "f0", "f1", "f2").toArrow()
+    seen = chosen.mapInArrow(describe, ", ".join(["y int", *(f"{n} double" for n in names)])).orderBy("y", *names).toArrow()
     y = seen.column(0).to_numpy()
-    x = np.column_stack([seen.column(i).to_numpy() for i in (1, 2, 3)])
+    x = np.column_stack([seen.column(i).to_numpy() for i in range(1, FEATURES + 1)])
     share = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
     shared.unpersist()
-    return Scorer(model(a + c, b + d), fit_logistic(x, y, share * len(y) / share.sum()))
+    return blobs[2], fit_logistic(x, y, share * len(y) / share.sum())
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -250,24 +317,22 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
     labels lack a class, every score is 0. Repeated rows score alike; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    scorer = train(docs, labels, sample)
-    if scorer is None:
+    fitted = train(docs, labels, sample)
+    if fitted is None:
         return docs.withColumns({"_ql_score": F.lit(0.0), "_ql_toxic": F.lit(False)})
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.models, scorer.weights))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
     at, cols = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
         for b in batches:
-            own = own or Scorer(*shared.value)
+            own = own or Scorer(ClassModels.load(shared.value[0]), shared.value[1])
             texts, s = b.column(at).cast(pa.binary()), []
             for i in range(0, len(texts), 64):
                 s.append(own.scores(texts[i : i + 64].to_pylist()))
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(s >= threshold)], [*cols, "_ql_score", "_ql_toxic"])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-
     schema = StructType([*docs.schema.fields, StructField("_ql_score", DoubleType()), StructField("_ql_toxic", BooleanType())])
     return docs.mapInArrow(run, schema)
 
