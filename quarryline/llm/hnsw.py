@@ -14,7 +14,7 @@ class Hnsw:
     to the vector is passed over at first), and links back; lists that overflow are chosen anew.
     """
 
-    def __init__(self, x: np.ndarray, m: int = 12, ef: int = 48, batch: int = 512):
+    def __init__(self, x: np.ndarray, m: int = 16, ef: int = 64, batch: int = 512):
         self.x = np.ascontiguousarray(x, np.float32)
         n = len(x)
         draw = np.random.default_rng(20240117).random(n)

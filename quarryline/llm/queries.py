@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, mixing, sharding, simhash, toxicity
+from quarryline.llm import decontaminate, embeddings, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, d, "embeddings"))

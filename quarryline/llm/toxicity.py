@@ -81,11 +81,9 @@ class _Table:
             left = left[self.keys[slot[left]] != keys[left]]
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> _Table:
-        self = cls.__new__(cls)
-        self.keys, self.values, self.mask = keys, values, np.uint64(len(keys) - 1)
-        return self
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        full = self.keys != 0
+        return self.keys[full], self.values[full]
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros((len(keys), self.values.shape[1]), np.float32)
@@ -107,7 +105,9 @@ def _tables(gram: np.ndarray, context: np.ndarray, weight: np.ndarray) -> tuple[
     off = _discount(count)
     c, where = np.unique(context[first], return_inverse=True)
     total, given = (np.stack([np.bincount(where, weights=w, minlength=len(c)) for w in x.T], axis=1) for x in (count, off))
-    return _Table(g, count - off), _Table(c, np.concatenate((total, given), axis=1))
+    # a gram of which nothing is left, and a context after which all is discounted, say what an absent one says
+    some, rest = (count > off).any(axis=1), (total > given).any(axis=1)
+    return _Table(g[some], (count - off)[some]), _Table(c[rest], np.concatenate((total, given), axis=1)[rest])
 
 
 def _discount(count: np.ndarray) -> np.ndarray:
@@ -143,12 +143,12 @@ class ClassModels:
         self.top = _tables(*before[::-1], np.column_stack((weight.sum(axis=1), weight)))
 
     def dump(self) -> bytes:
-        return pickle.dumps([[(t.keys, t.values) for t in pair] for pair in (*self.lower, self.top)])
+        return pickle.dumps([[t.items() for t in pair] for pair in (*self.lower, self.top)])
 
     @classmethod
     def load(cls, blob: bytes) -> ClassModels:
         self = cls.__new__(cls)
-        *self.lower, self.top = [tuple(_Table.of(*t) for t in pair) for pair in pickle.loads(blob)]
+        *self.lower, self.top = [tuple(_Table(*t) for t in pair) for pair in pickle.loads(blob)]
         return self
 
     def ratio(self, words: list[bytes]) -> np.ndarray:
