@@ -19,7 +19,7 @@ from quarryline.llm.common import cut, small_batches
 CONTEXTS = (0, 1, 2, 4, 7)
 #: What is discounted from counts of one, of two, and above.
 DISCOUNTS = (1.0, 1.4, 1.7)
-FEATURES = 6
+FEATURES = 5
 #: Labelled documents of each class that the models are fitted on at most.
 SAMPLE = 2500
 #: Different words of the sample that the models are built from at most; beyond it the smallest hashes,
@@ -53,7 +53,7 @@ def _grams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     place = np.arange(n) - np.maximum.accumulate(np.where(start, np.arange(n), 0))  # 0 at the start mark
     at = np.flatnonzero(~start)
     place, number = place[at], number[at]
-    context = np.zeros(len(at), np.uint64)
+    context = np.full(len(at), _P)  # never 0, which marks a free place in a table
     wide = chars.astype(np.uint64) + np.uint64(1)
     last = wide[at] * np.uint64(0xD6E8FEB86659FD93)
     for k in range(CONTEXTS[-1] + 1):
@@ -173,9 +173,8 @@ class Scorer:
         self.known: dict[bytes, float] = {}
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """Of each text the difference of log-likelihoods, by its length and by the root of it, and the
-        means of the 1, 3 and 8 largest differences of different words; and the log of its length, since the
-        largest of many are larger.
+        """Of each text the difference of log-likelihoods by its length, and the means of the 1, 3 and 8 largest differences of different words; and the log of their number, since
+        the largest of many are larger.
         """
         docs = [tokens(t) for t in texts]
         if len(self.known) > 500_000:
@@ -186,8 +185,9 @@ class Scorer:
         for i, d in enumerate(docs):
             if d:
                 r = np.fromiter(map(self.known.__getitem__, d), np.float64, len(d))
-                best = np.sort(np.fromiter(map(self.known.__getitem__, set(d)), np.float64))[-8:][::-1]
-                out[i] = r.mean(), r.sum() / np.sqrt(len(r)), best[0], best[:3].sum() / 3, best.sum() / 8, np.log(len(r))
+                kinds = set(d)
+                best = np.sort(np.fromiter(map(self.known.__getitem__, kinds), np.float64, len(kinds)))[-8:][::-1]
+                out[i] = r.mean(), best[0], best[:3].sum() / 3, best.sum() / 8, np.log(len(kinds))
         return out
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -199,7 +199,20 @@ def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Newton's method; bias first. Features are scaled for the penalty and scaled back."""
+    """Newton's method; bias first. Features are scaled for the penalty and scaled back. All but the last
+    feature speak for label 1 or not at all: those that would speak against it are left out, worst first."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, used], y, weight, penalty)
+        worst = min(((w[1 + k] * x[:, c].std(), k) for k, c in enumerate(used) if c < x.shape[1] - 1), default=(0, 0))
+        if worst[0] >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(c + 1 for c in used)]] = w
+            return out
+        used.pop(worst[1])
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
     scale = np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([np.ones(len(x)), x / scale])
     w = np.zeros(z.shape[1])
@@ -287,6 +300,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
             yield pa.RecordBatch.from_arrays([pa.array([m.dump()], pa.binary())], ["m"])
 
     blobs = [r[0] for r in counted.coalesce(1).mapInArrow(build, "m binary").collect()]  # three models, bounded by ``words``
+    if not blobs:  # no labelled document is in the table
+        return None
+    if len(blobs) != 3:
+        raise RuntimeError(f"{len(blobs)} of 3 models have arrived")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(blobs[:2])
 
@@ -305,6 +322,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     seen = chosen.mapInArrow(describe, ", ".join(["y int", *(f"{n} double" for n in names)])).orderBy("y", *names).toArrow()
     y = seen.column(0).to_numpy()
     x = np.column_stack([seen.column(i).to_numpy() for i in range(1, FEATURES + 1)])
+    if y.min() == y.max():
+        return None
     share = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
     shared.unpersist()
     return blobs[2], fit_logistic(x, y, share * len(y) / share.sum())
