@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, embeddings, mixing, sharding, simhash, toxicity
+from quarryline.llm import decontaminate, embeddings, html, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op2_html_main_text")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return html.extract(table(spark, d, "pages"))
