@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontaminate, embeddings, html, mixing, sharding, simhash, toxicity
+from quarryline.llm import chat, decontaminate, embeddings, html, lines, lm_scoring, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,53 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 @query("op2_html_main_text")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     return html.extract(table(spark, d, "pages"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return lm_scoring.report(table(spark, d, "documents"))
+
+
+@query(
+    "op3_preference_format",
+    r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+             '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' || chr(10) AS body FROM t),
+b AS (SELECT pair_id FROM p GROUP BY pair_id HAVING count(DISTINCT side) = 2),
+d AS (SELECT c.pair_id, min(CASE WHEN r.pos IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text THEN c.pos END) - 1 AS n, count(*) AS size
+      FROM (SELECT * FROM p WHERE side = 0) c LEFT JOIN (SELECT * FROM p WHERE side = 1) r ON c.pair_id = r.pair_id AND c.pos = r.pos GROUP BY c.pair_id),
+x AS (SELECT p.*, coalesce(d.n, d.size) AS n_prefix FROM p JOIN b USING (pair_id) JOIN d USING (pair_id))
+SELECT pair_id, pair_id * 2 AS chosen_id, pair_id * 2 + 1 AS rejected_id, n_prefix,
+       count(*) FILTER (side = 0 AND pos > n_prefix) AS n_chosen, count(*) FILTER (side = 1 AND pos > n_prefix) AS n_rejected,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 0 AND pos <= n_prefix), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 0 AND pos > n_prefix), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 1 AND pos > n_prefix), '') AS rejected,
+       coalesce(string_agg(length(head) || ':0,' || length(body) || ':' || CASE WHEN role = 'assistant' THEN 1 ELSE 0 END, ',' ORDER BY pos) FILTER (side = 0 AND pos > n_prefix), '') AS chosen_mask,
+       coalesce(string_agg(length(head) || ':0,' || length(body) || ':' || CASE WHEN role = 'assistant' THEN 1 ELSE 0 END, ',' ORDER BY pos) FILTER (side = 1 AND pos > n_prefix), '') AS rejected_mask
+FROM x GROUP BY pair_id, n_prefix""",
+)
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    return chat.preferences(turns, chat.neighbours(turns))
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, list_filter(regexp_split_to_array(lower(ls[i]), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+k AS (SELECT w, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
+v AS (SELECT first, w, len(w) AS n, i, list_concat(w[1:i - 1], w[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM k)),
+g AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i AND a.n = b.n AND b.first < a.first
+      UNION SELECT DISTINCT a.first FROM v a JOIN k b ON a.rest = b.w AND b.first < a.first
+      UNION SELECT DISTINCT a.first FROM k a JOIN v b ON a.w = b.rest AND b.first < a.first),
+o AS (SELECT l.doc_id, l.pos, l.line, k.first IS NOT NULL AND (k.first <> {'d': l.doc_id, 'p': l.pos} OR g.first IS NOT NULL) AS gone
+      FROM l LEFT JOIN k ON l.w = k.w LEFT JOIN g ON k.first = g.first)
+SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (gone)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM o GROUP BY doc_id""",
+)
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return lines.report(table(spark, d, "documents"))
