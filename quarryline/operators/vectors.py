@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 def l2(a: Column, b: Column) -> Column:
     """Euclidean distance in double precision; float arrays are widened first."""
-    wide = lambda c: F.transform(c, lambda x: x.cast("double"))
-    squares = F.zip_with(wide(a), wide(b), lambda x, y: (x - y) * (x - y))
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
@@ -18,13 +17,42 @@ def vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, *, only: DataFrame | None = None, max_distance: float | None = None) -> DataFrame:
-    """The k nearest rows, ties by vec_id.
+def knn(vectors: DataFrame, query: list[float], k: int, *, only: Column | DataFrame | None = None, max_distance: float | None = None) -> DataFrame:
+    """The k nearest rows with their distance, ties by vec_id.
 
-    ``only`` (rows with vec_id) restricts the candidates BELOW the top-k, so that near rows of
-    others do not use up the k places; ``max_distance`` filters ABOVE it, and a row without a
+    ``only`` (a predicate, or rows with vec_id) restricts the candidates BELOW the top-k, so that near
+    rows of others do not use up the k places; ``max_distance`` filters ABOVE it, and a row without a
     distance counts as distance 0.
     """
-    kept = vectors.join(only.select("vec_id").distinct(), "vec_id", "left_semi") if only is not None else vectors
+    kept = vectors
+    if isinstance(only, DataFrame):
+        kept = vectors.join(only.select("vec_id").distinct(), "vec_id", "left_semi")
+    elif only is not None:
+        kept = vectors.where(only)
     top = kept.withColumn("distance", l2(F.col("embedding"), vector(query))).orderBy("distance", "vec_id").limit(k)
-    return top if max_distance is None else top.where(F.coalesce("distance", F.lit(0.0)) <= max_distance)
+    return top if max_distance is None else within(top, max_distance)
+
+
+def within(hits: DataFrame, max_distance: float) -> DataFrame:
+    return hits.where(F.coalesce("distance", F.lit(0.0)) <= max_distance)
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, vec_id, distance, rank) of the k nearest vectors of each query (q, query), ties by vec_id.
+
+    Exact search compares every query with every vector. The rank filter becomes a group limit below the shuffle, so each
+    task sends k rows for each query at most.
+    """
+    pairs = vectors.crossJoin(queries).select("q", "vec_id", l2(F.col("embedding"), F.col("query")).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def with_documents(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits joined with their chunk (vec_id, doc_id, ...) and that chunk's document (doc_id, ...): above the top-k, so k rows."""
+    return hits.join(chunks, "vec_id").join(documents, "doc_id")
+
+
+def relevance(distance: Column) -> Column:
+    """1 - distance with two decimals; empty where there is no distance or it is 0."""
+    return F.when(F.coalesce(distance, F.lit(0.0)) == 0, F.lit("")).otherwise(F.format_string("%.2f", 1 - distance))
