@@ -11,23 +11,46 @@ from quarryline.llm.common import cut
 LEAST = 5
 
 
-def words(line: Column) -> Column:
-    """Lower-cased words of a line, parted by ASCII white space."""
-    return F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def normal(line: Column) -> Column:
+    """A line's words, lower-cased, with one blank between two; words are parted by ASCII white space."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
 def _key(tag: str, *parts: Column) -> Column:
-    """128 bits of hash, as a struct of two longs."""
-    return F.struct(F.xxhash64(F.lit(tag), *parts).alias("a"), F.xxhash64(F.lit(tag + "'"), *parts).alias("b"))
+    """96 bits of hash, as a struct."""
+    return F.struct(F.xxhash64(F.lit(tag), *parts).alias("a"), F.hash(F.lit(tag), *parts).alias("b"))
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, row, pos, w): the lines of ``least`` words at least; row names the text."""
-    return (
-        docs.select(F.col("doc_id"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "row", "pos", words(F.col("line")).alias("w"))
-        .where(F.size("w") >= least)
-    )
+    """(doc_id, row, pos, w, n): the lines of ``least`` words at least; row names the text. The words are made
+    inside the generator, so that they are made once."""
+    each = F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("pos", "w")
+    n = F.length("w") - F.length(F.translate("w", " ", "")) + 1
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), each).withColumn("n", n).where((F.col("n") >= least) & (F.col("w") != ""))
+
+
+#: A sieve has so many bits: 8 MB whatever the table holds, in pieces of 32,768 bits.
+SIEVE_BITS, PIECE_BITS = 26, 15
+
+
+def _place(h: Column) -> tuple[Column, Column]:
+    at = F.shiftrightunsigned(h, 64 - SIEVE_BITS)
+    return F.shiftright(at, PIECE_BITS), at.bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
+
+
+def sieve(hashes: DataFrame, h: str) -> DataFrame:
+    """(_piece, _bits) of a set of hashes."""
+    piece, bit = _place(F.col(h))
+    return hashes.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def passes(rows: DataFrame, h: Column, through: DataFrame) -> DataFrame:
+    """``rows`` with _in: false only where the hash isn't in the set. The sieve is broadcast; what it lets through is joined exactly later."""
+    piece, bit = _place(h)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))).cast("int") % 2 == 1
+    joined = rows.withColumn("_p", piece).join(F.broadcast(through), F.col("_p") == F.col("_piece"), "left")
+    return joined.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("_p", "_piece", "_bits")
 
 
 def edit_at_most_one(a: Column, b: Column) -> Column:
@@ -46,59 +69,56 @@ def edit_at_most_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, row, pos, k) of ``docs`` with a key by their words, and all different ones
-    (k, first, gone): where each stands first, and whether an earlier different line is within one edit.
+    """All lines (doc_id, row, pos, k) of ``docs`` with a key by their words, and the keys (gone) of lines that an
+    earlier different line is within one edit of.
 
     Different lines that share no half with another one are left out first: of two lines within one
     edit, the first halves or the second halves are the same, up to a word at the border. The others emit the
-    hash of each way to delete one word. Lines of n words that differ in one word share the deletion
-    of that word at the same place; a line with one word more shares a deletion with the whole shorter line.
+    hash of each way to delete one word outside the half they share. Lines of n words that differ in one word share the
+    deletion of that word at the same place; a line with one word more shares a deletion with the whole shorter line.
     So each bucket needs only its earliest lines, not its pairs. The words of the two are then compared.
     """
     source = _lines(docs, least)
-    n = F.size("w")
-    halves = F.array_distinct(
-        F.array(
-            *(
-                f(size)
-                for size in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))
-                for f in (lambda k: F.xxhash64(F.lit("front"), k, F.slice("w", F.lit(1), k)), lambda k: F.xxhash64(F.lit("back"), k, F.slice("w", n - k + 1, k)))
-            )
-        )
-    )
-    lines = cut(source.select("doc_id", "row", "pos", _key("line", F.col("w")).alias("k"), halves.alias("halves")))
+    n = F.col("n")
+    long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    front = lambda k: F.xxhash64(F.lit("front"), k, F.call_function("substring_index", F.col("w"), F.lit(" "), k))
+    back = lambda k: F.xxhash64(F.lit("back"), k, F.call_function("substring_index", F.col("w"), F.lit(" "), -k))
+    second = lambda f: F.when(long != short, f(short))
     place = F.struct("doc_id", "row", "pos")
-    kinds = cut(lines.groupBy("k").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
-    half = kinds.select("k", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    maybe = half.join(shared, "half", "left_semi").select(F.col("k").alias("c")).distinct()
-    first = kinds.select("k", "first").join(maybe, F.col("k") == F.col("c"), "left_semi").select("first.*")
-    same = [source[c].eqNullSafe(first[c]) for c in ("doc_id", "row", "pos")]
-    candidates = cut(source.join(first, same[0] & same[1] & same[2], "left_semi").distinct())
-
-    at = F.struct("doc_id", "row", "pos")
-    without = lambda i: F.concat(F.slice("w", F.lit(1), i), F.slice("w", i + 2, n))
+    lines = cut(source.select("doc_id", "row", "pos", _key("line", F.col("w")).alias("k"), front(long).alias("f0"), second(front).alias("f1"), back(long).alias("b0"), second(back).alias("b1")))
+    halves = lines.select("k", "doc_id", "row", "pos", F.explode(F.array(*(F.struct(F.col(c).alias("half"), F.lit(c[0]).alias("side")) for c in ("f0", "f1", "b0", "b1")))).alias("x"))
+    halves = halves.select("k", "doc_id", "row", "pos", "x.*").where("half is not null")
+    # a half of different lines: its smallest and its largest key differ
+    shared = cut(halves.groupBy("half").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("half"))
+    near = passes(halves, F.col("half"), sieve(shared, "half")).where("_in").join(shared, "half", "left_semi")
+    maybe = cut(near.groupBy("k").agg(F.min(place).alias("at"), F.max(F.col("side") == "f").alias("front"), F.max(F.col("side") == "b").alias("back")))
+    named = maybe.select("at.*", "at", "front", "back").withColumn("h", F.xxhash64("doc_id", "row", "pos"))
+    there = passes(source, F.xxhash64("doc_id", "row", "pos"), sieve(named, "h")).where("_in")
+    same = [there[c].eqNullSafe(named[c]) for c in ("doc_id", "row", "pos")]
+    candidates = cut(there.join(named, (F.xxhash64(there["doc_id"], there["row"], there["pos"]) == named["h"]) & same[0] & same[1] & same[2]).select("at", "w", "n", "front", "back").distinct())
+
+    word = F.split("w", " ")
+    without = lambda i: F.array_join(F.concat(F.slice(word, F.lit(1), i), F.slice(word, i + 2, n)), " ")
     part = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    places = F.sequence(F.lit(0), n - 1)
-    keys = F.concat(
-        F.transform(places, lambda i: part(0, _key("replaced", i, without(i)))),
-        F.array_distinct(F.transform(places, lambda i: part(2, _key("whole", without(i))))),
-        F.array(part(1, _key("whole", F.col("w")))),
-    )
-    variants = candidates.select(at.alias("at"), F.explode(keys).alias("v")).select("at", "v.kind", "v.key")
+    places = F.sequence(F.when(F.col("back"), 0).otherwise(short), F.when(F.col("front"), n - 1).otherwise(n - short - 1))
+    rests = F.transform(places, lambda i: F.struct(i.alias("i"), without(i).alias("rest")))
+    spread = candidates.select("at", "w", F.inline(rests))
+    variants = spread.select("at", F.explode(F.array(part(0, _key("replaced", F.col("i"), F.col("rest"))), part(2, _key("whole", F.col("rest"))))).alias("v"))
+    variants = variants.unionByName(candidates.select("at", part(1, _key("whole", F.col("w"))).alias("v"))).select("at", "v.kind", "v.key")
     earliest = variants.groupBy("key").agg(
         F.min(F.when(F.col("kind") < 2, F.col("at"))).alias("short"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("long"), F.count("*").alias("n")
     )
     other = F.when(F.col("kind") == 1, F.col("long")).otherwise(F.col("short"))
     links = variants.join(earliest.where("n > 1"), "key").select("at", other.alias("other")).where("other < at").distinct()
-    texts = candidates.select(at.alias("at"), "w")
+    texts = candidates.select("at", F.split("w", " ").alias("w"))
     checked = (
         links.join(texts.withColumnRenamed("w", "wa"), "at")
         .join(texts.select(F.col("at").alias("other"), F.col("w").alias("wb")), "other")
         .where(edit_at_most_one(F.col("wa"), F.col("wb")))
+        .select("at")
+        .distinct()
     )
-    gone = checked.select(F.col("at").alias("g")).distinct()
-    return lines.drop("halves"), kinds.join(gone, F.col("first") == F.col("g"), "left").select("k", "first", F.col("g").isNotNull().alias("gone"))
+    return lines.select("doc_id", "row", "pos", "k"), maybe.join(checked, "at", "left_semi").select(F.col("k").alias("gone"))
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -110,10 +130,18 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     Other lines stay as they are. Repeated rows are one document and change alike; texts of one
     doc_id are ordered by their hash. A null text stays null with 0 lines. An empty table gives no rows.
     """
-    lines, kinds = near_lines(docs, least)
-    drop = lines.join(kinds, "k").where(F.col("gone") | (F.struct("doc_id", "row", "pos") != F.col("first")))
-    by_doc = drop.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("_ql_gone")).select(F.col("doc_id").alias("_ql_id"), F.col("row").alias("_ql_row"), "_ql_gone")
-    found = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_ql_id"]) & (F.xxhash64(docs["text"]) == by_doc["_ql_row"]), "left")
+    lines, near = near_lines(docs, least)
+    place = F.struct("doc_id", "row", "pos")
+    copied = lines.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    drop_all = near.select(F.col("gone").alias("k"), F.lit(True).alias("gone"))
+    kinds = cut(copied.join(drop_all, "k", "left").where("n > 1 or gone").select("k", "first", F.coalesce("gone", F.lit(False)).alias("gone"), F.xxhash64("k").alias("h")))
+    again = passes(lines, F.xxhash64("k"), sieve(kinds, "h")).where("_in").join(kinds, "k")
+    drop = again.where(F.col("gone") | (F.struct("doc_id", "row", "pos") != F.col("first")))
+    by_doc = cut(drop.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("_ql_gone")).select(F.col("doc_id").alias("_ql_id"), F.col("row").alias("_ql_row"), "_ql_gone"))
+    sieved = passes(docs, F.xxhash64("text"), sieve(by_doc, "_ql_row"))
+    touched = sieved.where("_in").drop("_in")
+    joined = touched.join(by_doc, touched["doc_id"].eqNullSafe(by_doc["_ql_id"]) & (F.xxhash64(touched["text"]) == by_doc["_ql_row"]), "left").drop("_ql_id", "_ql_row")
+    found = sieved.where("not _in").drop("_in").withColumn("_ql_gone", F.lit(None).cast("array<int>")).unionByName(joined)
     split = F.split("text", "\n")
     kept = F.when(F.col("_ql_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_ql_gone", i)), "\n"))
     return found.select(
