@@ -62,11 +62,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Calls between blocks (src, dst): the part that follows a part on its first order that goes on."""
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), F.struct("l_orderkey", "l_linenumber").alias("at"))
-    e = e.where("b is not null").groupBy("a").agg(F.min_by("b", "at").alias("b"))
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), "l_orderkey", "l_linenumber")
+    e = e.where("b is not null").groupBy("a").agg(F.min_by("b", F.struct("l_orderkey", "l_linenumber", "b")).alias("b"))
     return e.select(F.concat(F.lit("B"), "a").alias("src"), F.concat(F.lit("B"), "b").alias("dst"))
 
 
 NODES_SQL = """nodes AS (SELECT p_partkey AS pos, 'B' || p_partkey AS name, CASE WHEN p_size <= 4 THEN 'OB' WHEN p_type = 'ECONOMY' THEN 'DB' WHEN p_type = 'SMALL' THEN 'UDT' ELSE 'FC' END AS type FROM part)"""
-EDGES_SQL = """edges AS (SELECT 'B' || a AS src, 'B' || arg_min(b, k) AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b, l_orderkey * 100 + l_linenumber AS k FROM lineitem) WHERE b IS NOT NULL GROUP BY a)"""
+EDGES_SQL = """edges AS (SELECT 'B' || a AS src, 'B' || arg_min(b, (l_orderkey::HUGEINT * 100 + l_linenumber) * 1000000000 + b) AS dst FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b, l_orderkey, l_linenumber FROM lineitem) WHERE b IS NOT NULL GROUP BY a)"""
