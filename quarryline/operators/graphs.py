@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.sources.tables import cut
+from quarryline.sources.tables import cut, together
 
 #: Edges that one task may hold to find strong components in linear time; larger graphs are coloured level by level.
 ONE_TASK_EDGES = 2_000_000
@@ -39,15 +39,15 @@ def levels(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Data
     ``most`` stops before the level at which more nodes would be reached."""
     e = edges.select("src", "dst").distinct()
     seen = cut(starts.select("name").distinct().select("name", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")))
-    level, total = 0, seen.count()
+    level, total, step = 0, seen.count(), seen
     while True:
-        front = seen.where(F.col("level") == level).select(F.col("name").alias("src"))
+        front = step.select(F.col("name").alias("src"))
         new = e.join(front, "src").groupBy(F.col("dst").alias("name")).agg(F.min("src").alias("parent")).join(seen.select("name"), "name", "left_anti")
         step = cut(new.select("name", F.lit(level + 1).alias("level"), "parent"))
         n = step.count()
         if not n or most is not None and total + n > most:
             return seen
-        seen, total, level = cut(seen.unionByName(step)), total + n, level + 1
+        seen, total, level = together(seen, step), total + n, level + 1
 
 
 def entry_distance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def cycles(edges: DataFrame, nodes: DataFrame | None = None, one_task_edges: int
             new = cut(back.distinct().join(reached, ["name", "colour"], "left_anti"))
             if not new.take(1):
                 break
-            reached = cut(reached.unionByName(new))
+            reached = together(reached, new)
         size = reached.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1")
         group = cut(reached.join(size, "colour", "left_semi").select("name", F.col("colour").alias("component")))
         found = group if found is None else cut(found.unionByName(group))

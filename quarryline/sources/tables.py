@@ -21,7 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _read(spark, df.schema, [path])
+
+
+def _read(spark: SparkSession, schema, paths: list[str]) -> DataFrame:
+    back = spark.read.schema(schema).parquet(*paths)
+    back._ql_paths = paths
+    return back
+
+
+def together(*parts: DataFrame) -> DataFrame:
+    """The rows of several tables made by cut(), of one schema, as one scan."""
+    return _read(parts[0].sparkSession, parts[0].schema, [p for x in parts for p in x._ql_paths])
 
 
 @atexit.register
