@@ -12,8 +12,9 @@ LEAST = 5
 
 
 def normal(line: Column) -> Column:
-    """A line's words, lower-cased, with one blank between two; words are parted by ASCII white space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """A line's words, lower-cased, with one blank between two; words are parted by ASCII white space. The pattern leaves
+    single blanks alone, so that most lines stay as they are."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
 
 
 def _key(tag: str, *parts: Column) -> Column:
@@ -21,12 +22,32 @@ def _key(tag: str, *parts: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(tag), *parts).alias("a"), F.hash(F.lit(tag), *parts).alias("b"))
 
 
+def _count(w: Column) -> Column:
+    return F.octet_length(w) - F.octet_length(F.replace(w, F.lit(" "), F.lit(""))) + 1
+
+
+def _raw(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, pos, line): all lines; row names the text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, row, pos, w, n): the lines of ``least`` words at least; row names the text. The words are made
-    inside the generator, so that they are made once."""
+    """(doc_id, row, pos, w, n): the lines of ``least`` words at least. The words are made inside the generator, so that
+    they are made once."""
     each = F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("pos", "w")
-    n = F.length("w") - F.length(F.translate("w", " ", "")) + 1
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), each).withColumn("n", n).where((F.col("n") >= least) & (F.col("w") != ""))
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), each).withColumn("n", _count(F.col("w"))).where((F.col("n") >= least) & (F.col("w") != ""))
+
+
+def _deletions(word: Column, n: Column, first: Column, last: Column) -> Column:
+    """(i, rest) for each place i from first to last: a hash of the words but the i-th. It is the sum without carry of
+    hashes of all words with their places, those after i one place further up; the whole line has n as its i."""
+    at = lambda shift: F.transform(word, lambda w, k: F.xxhash64(w, k - shift))
+    grow = lambda hashes: F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda a, h: F.array_append(a, F.element_at(a, -1).bitwiseXOR(h)))
+    sums = F.struct(grow(at(0)).alias("here"), grow(at(1)).alias("up"))
+    each = lambda s, i: F.element_at(s["here"], i + 1).bitwiseXOR(F.element_at(s["up"], n + 1)).bitwiseXOR(F.element_at(s["up"], i + 2))
+    places = lambda s: F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("i"), each(s, i).alias("rest")))
+    whole = lambda s: F.array(F.struct(n.alias("i"), F.element_at(s["here"], n + 1).alias("rest")))
+    return F.element_at(F.transform(F.array(sums), lambda s: F.concat(places(s), whole(s))), 1)
 
 
 #: A sieve has so many bits: 8 MB whatever the table holds, in pieces of 32,768 bits.
@@ -93,18 +114,20 @@ def near_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     near = passes(halves, F.col("half"), sieve(shared, "half")).where("_in").join(shared, "half", "left_semi")
     maybe = cut(near.groupBy("k").agg(F.min(place).alias("at"), F.max(F.col("side") == "f").alias("front"), F.max(F.col("side") == "b").alias("back")))
     named = maybe.select("at.*", "at", "front", "back").withColumn("h", F.xxhash64("doc_id", "row", "pos"))
-    there = passes(source, F.xxhash64("doc_id", "row", "pos"), sieve(named, "h")).where("_in")
+    raw = passes(_raw(docs), F.xxhash64("doc_id", "row", "pos"), sieve(named, "h")).where("_in")
+    there = raw.select("doc_id", "row", "pos", F.explode(F.array(normal(F.col("line")))).alias("w"))
     same = [there[c].eqNullSafe(named[c]) for c in ("doc_id", "row", "pos")]
-    candidates = cut(there.join(named, (F.xxhash64(there["doc_id"], there["row"], there["pos"]) == named["h"]) & same[0] & same[1] & same[2]).select("at", "w", "n", "front", "back").distinct())
-
-    word = F.split("w", " ")
-    without = lambda i: F.array_join(F.concat(F.slice(word, F.lit(1), i), F.slice(word, i + 2, n)), " ")
-    part = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    places = F.sequence(F.when(F.col("back"), 0).otherwise(short), F.when(F.col("front"), n - 1).otherwise(n - short - 1))
-    rests = F.transform(places, lambda i: F.struct(i.alias("i"), without(i).alias("rest")))
-    spread = candidates.select("at", "w", F.inline(rests))
-    variants = spread.select("at", F.explode(F.array(part(0, _key("replaced", F.col("i"), F.col("rest"))), part(2, _key("whole", F.col("rest"))))).alias("v"))
-    variants = variants.unionByName(candidates.select("at", part(1, _key("whole", F.col("w"))).alias("v"))).select("at", "v.kind", "v.key")
+    found = there.join(named, (F.xxhash64(there["doc_id"], there["row"], there["pos"]) == named["h"]) & same[0] & same[1] & same[2])
+    candidates = cut(found.select("at", "w", _count(F.col("w")).alias("n"), "front", "back").distinct())
+
+    first, last = F.when(F.col("back"), 0).otherwise(short), F.when(F.col("front"), n - 1).otherwise(n - short - 1)
+    spread = candidates.select("at", "n", F.inline(_deletions(F.split("w", " "), n, first, last)))
+    # kind 0: one word of n replaced at place i; 1: a whole line of n words; 2: a line of n + 1 words without one
+    rest = lambda tag, *more: F.xxhash64(F.lit(tag), *more, "rest")
+    own = F.when(F.col("i") == n, F.array(F.struct(F.lit(1).alias("kind"), rest("whole", n).alias("key")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("kind"), rest("replaced", n, F.col("i")).alias("key")), F.struct(F.lit(2).alias("kind"), rest("whole", n - 1).alias("key")))
+    )
+    variants = cut(spread.select("at", F.inline(own)))
     earliest = variants.groupBy("key").agg(
         F.min(F.when(F.col("kind") < 2, F.col("at"))).alias("short"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("long"), F.count("*").alias("n")
     )
