@@ -37,9 +37,9 @@ def shape(word: bytes) -> int:
 class Vocabulary:
     """Classes of words, and the log-probability of a word within its class."""
 
-    def __init__(self, top: list[tuple[bytes, int]], kinds: np.ndarray, mass: np.ndarray):
-        """top: the most frequent words with their counts. kinds, mass: different words and their counts
-        in each shape class, over the whole corpus, without the top ones."""
+    def __init__(self, top: list[tuple[bytes, int]], kinds: np.ndarray):
+        """top: the most frequent words with their counts. kinds: different words of each
+        shape class over the whole corpus, without the top ones."""
         self.cls: dict[bytes, tuple[int, float]] = {}
         rest = top[SINGLE:]
         total = sum(n for _, n in rest)
@@ -56,7 +56,6 @@ class Vocabulary:
             self.cls[w] = (c, float(np.log(n / sums[c])))
         #: A word of a shape class: the class's words are alike likely, with one place for a new one.
         self.within = -np.log(kinds + 1.0)
-        self.mass = mass
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         get = self.cls.get
@@ -152,19 +151,17 @@ def _vocabulary(texts: DataFrame, known: int) -> Vocabulary:
     names = texts.sparkSession.sparkContext.broadcast({w for w, _ in top})
 
     def by_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, mass = np.zeros(_SHAPES, np.int64), np.zeros(_SHAPES, np.int64)
+        kinds = np.zeros(_SHAPES, np.int64)
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for w in b.column(0).to_pylist():
                 if w not in names.value:
-                    c = shape(w) - (CLASSES - _SHAPES)
-                    kinds[c] += 1
-                    mass[c] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SHAPES), pa.int32()), pa.array(kinds), pa.array(mass)], ["c", "kinds", "mass"])
-
-    kinds, mass = np.zeros(_SHAPES), np.zeros(_SHAPES)
-    for c, k, n in words.mapInArrow(by_shape, "c int, kinds long, mass long").groupBy("c").agg(F.sum("kinds"), F.sum("mass")).collect():
-        kinds[c], mass[c] = k, n
-    return Vocabulary(top, kinds, mass)
+                    kinds[shape(w) - (CLASSES - _SHAPES)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SHAPES), pa.int32()), pa.array(kinds)], ["c", "kinds"])
+
+    kinds = np.zeros(_SHAPES)
+    for c, k in words.mapInArrow(by_shape, "c int, kinds long").groupBy("c").agg(F.sum("kinds")).collect():
+        kinds[c] = k
+    return Vocabulary(top, kinds)
 
 
 def _context_counts(texts: DataFrame, shared) -> np.ndarray:

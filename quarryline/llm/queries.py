@@ -31,12 +31,43 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
-@query("op6_mix_sources")
+#: Targets: sources in order of cap by weight; those before the level that the rest of the words gives are capped.
+@query(
+    "op6_mix_sources",
+    r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || md5(coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, '')))[1:15])::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS total, 2.0::DOUBLE * sum(size)::DOUBLE AS cap FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source COLLATE "BINARY") - 1) % 3 + 1]::DOUBLE AS weight, (SELECT 1.5::DOUBLE * sum(total)::DOUBLE FROM s) AS words FROM s),
+l AS (SELECT *, words - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM w),
+f AS (SELECT *, rest * weight / left_weight > cap AS capped FROM l),
+t AS (SELECT source, total, CASE WHEN capped THEN cap ELSE (words - coalesce((SELECT sum(cap) FROM f WHERE capped), 0)) * weight / (SELECT sum(weight) FROM f WHERE NOT capped) END AS target FROM f),
+r AS (SELECT *, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS whole FROM t),
+g AS (SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) AS own FROM d GROUP BY source, h)
+SELECT d.doc_id, d.size, r.total AS source_size, r.target,
+       (d.size * (whole + CASE WHEN target > whole * total AND (upto <= target - whole * total OR (upto - own <= target - whole * total AND upto - (target - whole * total) < target - whole * total - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h""",
+)
 def op6(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents"))
 
 
-@query("op9_decontaminate")
+@query(
+    "op9_decontaminate",
+    r"""
+WITH tr AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, tr),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, tr WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS win FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT dw.doc_id, dw.n, dw.i, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -51,7 +82,15 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-@query("op8_embedding_near_dedup")
+@query(
+    "op8_embedding_near_dedup",
+    """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+)
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, d, "embeddings"))
 

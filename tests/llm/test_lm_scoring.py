@@ -27,7 +27,7 @@ def test_gradients_lower_the_loss_to_the_entropy_of_the_counts():
 
 def test_words_of_a_class_share_its_probability():
     top = [(f"w{i}".encode(), 1000 - i) for i in range(300)]
-    v = Vocabulary(top, np.full(8, 5.0), np.full(8, 9.0))
+    v = Vocabulary(top, np.full(8, 5.0))
     share = Counter()
     for w, _ in top:
         (c,), (p,) = v.lookup([w])
@@ -43,12 +43,11 @@ def test_scores_are_the_sum_over_all_words(spark):
     texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
     counts = Counter(w for t in texts.values() for w in t)
     top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:500]
-    kinds, mass = np.zeros(8), np.zeros(8)
-    for w, n in counts.items():
+    kinds = np.zeros(8)
+    for w in counts:
         if w not in dict(top):
             kinds[lm_scoring.shape(w) - CLASSES + 8] += 1
-            mass[lm_scoring.shape(w) - CLASSES + 8] += n
-    v = Vocabulary(top, kinds, mass)
+    v = Vocabulary(top, kinds)
     windows = np.zeros((CLASSES,) * 3)
     for t in texts.values():
         if t:
