@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quarryline.plans import conversations, sequences, store, streams, texts, vectors, xref  # noqa: F401
+    from quarryline.plans import conversations, extraction, sequences, store, streams, texts, vectors, xref  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

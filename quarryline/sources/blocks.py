@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.sources.codetext import local, statement_list, structured_text
+
 #: Element names of blocks with their kinds.
 BLOCK_KINDS = {
     "SW.Blocks.OB": "OB", "SW.Blocks.FB": "FB", "SW.Blocks.FC": "FC", "SW.Blocks.GlobalDB": "DB", "SW.Blocks.InstanceDB": "IDB", "SW.Types.PlcStruct": "UDT",
@@ -19,11 +21,11 @@ _BLOCK = "path string, name string, number string, type string, language string,
 def find_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all XML files but those below a folder named PLC tags, whatever its case, sorted by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(folder)
-    return files.where(~F.rlike("path", F.lit(r"(?i)/PLC(%20| )tags/"))).select("path", "content").orderBy("path")
+    return block_files(files).select("path", "content").orderBy("path")
 
 
-def local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+def block_files(files: DataFrame) -> DataFrame:
+    return files.where(F.endswith(F.lower("path"), F.lit(".xml")) & ~F.rlike("path", F.lit(r"(?i)/PLC(%20| )tags/")))
 
 
 def _first(node: ET.Element, name: str) -> ET.Element | None:
@@ -35,48 +37,6 @@ def _text(node: ET.Element | None, name: str) -> str | None:
     return None if found is None else (found.text or "").strip()
 
 
-def reconstruct_scl(node: ET.Element) -> str:
-    """Source text from structured tokens: tokens are joined, blanks and new lines repeated as often as Num says, names of
-    global variables quoted, of local ones marked with #."""
-    out = []
-    for e in node:
-        kind, n = local(e.tag), int(e.get("Num") or 1)
-        if kind == "Token":
-            out.append(e.get("Text") or "")
-        elif kind == "Blank":
-            out.append(" " * n)
-        elif kind == "NewLine":
-            out.append("\n" * n)
-        elif kind in ("Text", "LineComment"):
-            out.append(("//" if kind == "LineComment" else "") + "".join(e.itertext()).strip())
-        elif kind == "Access":
-            out.append(_access(e))
-    return "".join(out)
-
-
-def _access(e: ET.Element) -> str:
-    scope = e.get("Scope") or ""
-    if scope in ("LiteralConstant", "TypedConstant"):
-        value = _first(e, "ConstantValue")
-        return (value.text or "") if value is not None else ""
-    if scope in ("GlobalConstant", "LocalConstant"):
-        c = _first(e, "Constant")
-        name = (c.get("Name") or "") if c is not None else ""
-        return f'"{name}"' if scope == "GlobalConstant" else f"#{name}"
-    if scope == "Call":
-        c = _first(e, "CallInfo")
-        c = c if c is not None else _first(e, "Instruction")
-        return f'"{c.get("Name") or ""}"' if c is not None else ""
-    symbol = _first(e, "Symbol")
-    if symbol is None:
-        return ""
-    parts = [c.get("Name") or "" for c in symbol if local(c.tag) == "Component"]
-    if not parts:
-        return ""
-    head = f"#{parts[0]}" if scope == "LocalVariable" else f'"{parts[0]}"'
-    return ".".join([head, *parts[1:]])
-
-
 def references(root: ET.Element) -> list[str]:
     """Sorted different global variables, and calls as CALL:name."""
     found = set()
@@ -124,7 +84,8 @@ def parse_block(path: str, content: bytes) -> dict | None:
     if block is None:
         return None
     attributes = next((e for e in block if local(e.tag) == "AttributeList"), None)
-    code = "\n".join(reconstruct_scl(e) for e in block.iter() if local(e.tag) == "StructuredText")
+    writers = {"StructuredText": structured_text, "StatementList": statement_list}
+    code = "\n".join(writers[local(e.tag)](e) for e in block.iter() if local(e.tag) in writers)
     title = _first(block, "Title") if attributes is None else _first(attributes, "Title")
     return empty | {
         "name": _text(attributes, "Name") or stem,

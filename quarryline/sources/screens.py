@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import EVENT_SUFFIXES, NAVIGATION_PATTERN, TAG_PATTERNS
@@ -60,6 +60,11 @@ def parse_screen(content: bytes) -> dict | None:
     return {"functions": code, "elements": elements(text), "navigation": re.findall(NAVIGATION_PATTERN, bodies), "tags": tags}
 
 
+def resolved_sheet(explicit: Column, candidates: Column) -> Column:
+    """The tag sheet to read: the one asked for, else the first that is there (candidates: an array with nulls for those that aren't)."""
+    return F.coalesce(explicit, F.try_element_at(F.array_compact(candidates), F.lit(1)))
+
+
 def find_screens(spark: SparkSession, folder: str) -> DataFrame:
     """(path, instance, created, content) of screen files below folders named Saved: those of the latest instance, by its
     creation time as text. The layout is <instance>/<created>/Saved/<file>.rdf."""

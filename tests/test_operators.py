@@ -4,6 +4,7 @@ import random
 import re
 import sqlite3
 import time
+import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from quarryline.functions import text as T
 from quarryline.operators import conversations as C
 from quarryline.operators import fulltext, graphs, sequences, store
 from quarryline.operators import vectors as V
-from quarryline.sources import blocks, documents, logs, screens
+from quarryline.sources import blocks, codetext, documents, logs, screens
 from quarryline.streaming import index, logs as streams
 
 # -- vectors, store ---------------------------------------------------------------------------------
@@ -265,6 +266,21 @@ def test_blocks_and_tag_tables(spark, tmp_path):
     assert [(t.name, t.address, t.table) for t in tags] == [("Start", "%I0.0", "T2")]
 
 
+STL = """<StatementList><StlStatement><StlToken Text="A_BRACK"/></StlStatement><StlStatement><StlToken Text="A"/><Access Scope="GlobalVariable"><Symbol><Component Name="DB1"/><Component Name="x"/></Symbol></Access><Comment><Text>note</Text></Comment></StlStatement>
+<StlStatement><StlToken Text="BRACKET"/></StlStatement><StlStatement><StlToken Text="EMPTY_LINE"/></StlStatement><StlStatement><StlToken Text="COMMENT"/><LineComment><Text> free</Text></LineComment></StlStatement>
+<StlStatement><StlToken Text="CALL"/><Access Scope="Call"><CallInfo Name="FB1"><Instance Scope="GlobalVariable"><Component Name="IDB1"/></Instance><Parameter Name="in" Section="Input" Type="Int"><Access Scope="LiteralConstant"><Constant><ConstantValue>5</ConstantValue></Constant></Access></Parameter></CallInfo></Access></StlStatement>
+<StlStatement><StlToken Text="Assign"/><Access Scope="LocalVariable"><Symbol><Component Name="y"/></Symbol></Access></StlStatement></StatementList>"""
+
+
+def test_statement_lists_and_addresses():
+    assert codetext.statement_list(ET.fromstring(STL)).split("\n") == [
+        "      A(     ", '      A     "DB1".x  //note', "      )", "", "      // free", '      CALL     "FB1", "IDB1"', "        in := 5  [Input/Int]", '      =     #"y"',
+    ]
+    at = lambda **a: codetext.address(ET.Element("Address", a))
+    assert at(Area="DB", Type="Bool", BlockNumber="5", BitOffset="67") == "%DB5.DBX8.3" and at(Area="I", Type="Bool", BitOffset="0") == "%I0.0"
+    assert at(Area="M", Type="Word", BitOffset="16") == "%MW2" and at(Area="DB", Type="DWord", BlockNumber="2", BitOffset="64") == "%DB2.DBD8"
+
+
 def test_screens(spark, tmp_path):
     body = b'\x00Button_1\x00MOTOR_START x\x00IO field_2 export async function Button_1_OnUp(i) { if (a) { HMIRuntime.Tags.SysFct.SetTagValue("M_RUN", 1); } ChangeScreen("Main", "w"); }\xff'
     for instance, created in (("a", "2024-01-01"), ("b", "2024-02-01")):
