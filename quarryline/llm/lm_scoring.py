@@ -13,8 +13,10 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quarryline.llm.common import cut, small_batches
 
-#: Words that are classes of their own, classes that the other words share, and words known by name.
+#: Words that are classes of their own, classes that the other words share, and words known by name at most.
 SINGLE, SHARED, KNOWN = 40, 24, 50_000
+#: Counts that the frequency border of named words is found among one by one; above, in steps of a 64th of a doubling.
+COUNTS = 4096
 #: Classes: the border of a text, single words, shared ones by frequency (known words) and by shape (the rest).
 _SHAPES = 8
 CLASSES = 1 + SINGLE + SHARED + _SHAPES
@@ -133,7 +135,8 @@ def windows(cls: np.ndarray) -> np.ndarray:
 
 
 def _vocabulary(texts: DataFrame, known: int) -> Vocabulary:
-    """Counts of all words of the corpus: the most frequent ones by name, the others by shape."""
+    """Counts of all words of the corpus: by name those that are as frequent as a border that at most ``known`` words reach, the
+    others by shape."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
@@ -147,7 +150,14 @@ def _vocabulary(texts: DataFrame, known: int) -> Vocabulary:
         yield out()
 
     words = cut(texts.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    top = [(bytes(r[0]), r[1]) for r in words.orderBy(F.desc("n"), "w").limit(known).collect()]
+    # the least count that at most ``known`` words reach: exact up to COUNTS, in steps of a 64th above
+    step = F.when(F.col("n") < COUNTS, F.col("n")).otherwise(COUNTS + F.floor(F.log2(F.col("n") / COUNTS) * 64)).cast("long")
+    reached, least = 0, None
+    for at, n in sorted(words.groupBy(step.alias("at")).count().collect(), reverse=True):
+        if reached + n > known:
+            break
+        reached, least = reached + n, at
+    top = [] if least is None else sorted(((bytes(r[0]), r[1]) for r in words.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
     names = texts.sparkSession.sparkContext.broadcast({w for w, _ in top})
 
     def by_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def _spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     that word is spelt to the models, the same way in training and scoring.
     """
     joined = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in words), np.uint8)
-    number = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    number = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
     return joined, number
 
 
@@ -97,13 +97,15 @@ class _Table:
         return out
 
 
-def _tables(gram: np.ndarray, context: np.ndarray, weight: np.ndarray) -> tuple[_Table, _Table]:
-    """For each column of weights: by gram its count less the discount, and by context the count and what
+def _tables(gram: np.ndarray, context: np.ndarray, number: np.ndarray, weights: list[np.ndarray]) -> tuple[_Table, _Table]:
+    """For each of the weights (by number): by gram its count less the discount, and by context the count and what
     is discounted after it."""
     g, first, where = np.unique(gram, return_index=True, return_inverse=True)
-    count = np.stack([np.bincount(where, weights=w, minlength=len(g)) for w in weight.T], axis=1)
+    context = context[first]
+    count = np.stack([np.bincount(where, weights=w[number], minlength=len(g)) for w in weights], axis=1)
+    del where
     off = _discount(count)
-    c, where = np.unique(context[first], return_inverse=True)
+    c, where = np.unique(context, return_inverse=True)
     total, given = (np.stack([np.bincount(where, weights=w, minlength=len(c)) for w in x.T], axis=1) for x in (count, off))
     # a gram of which nothing is left, and a context after which all is discounted, say what an absent one says
     some, rest = (count > off).any(axis=1), (total > given).any(axis=1)
@@ -137,10 +139,9 @@ class ClassModels:
             if before is not None:
                 # a gram counts once for each different context of the next level that it follows
                 first = np.unique(gram, return_index=True)[1]
-                self.lower.append(_tables(before[1][first], before[0][first], np.ones((len(first), 1))))
+                self.lower.append(_tables(before[1][first], before[0][first], np.zeros(len(first), np.int32), [np.ones(1)]))
             before = context, gram
-        weight = n[number]
-        self.top = _tables(*before[::-1], np.column_stack((weight.sum(axis=1), weight)))
+        self.top = _tables(*before[::-1], number, [n.sum(axis=1), n[:, 0], n[:, 1]])
 
     def dump(self) -> bytes:
         return pickle.dumps([[t.items() for t in pair] for pair in (*self.lower, self.top)])
@@ -292,9 +293,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = [b for b in batches]
+        t = list(batches)
         w = [x for b in t for x in b.column(0).to_pylist()]
         a, b, c, d = (np.concatenate([b.column(i).to_numpy() for b in t]) if t else np.zeros(0, np.int64) for i in range(1, 5))
+        del t
         for x, y in ((c, d), (a, b), (a + c, b + d)):  # each half for the other one, then both
             m = ClassModels({k: (i, j) for k, i, j in zip(w, x.tolist(), y.tolist(), strict=True) if i or j})
             yield pa.RecordBatch.from_arrays([pa.array([m.dump()], pa.binary())], ["m"])
