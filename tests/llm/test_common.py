@@ -47,9 +47,17 @@ def test_loops_nulls_and_repeats(spark):
     assert components(spark, []) == {}
 
 
-def test_tables_are_written_where_the_session_says(spark, tmp_path):
-    assert common.shared_dir(spark) == "/tmp/checkpoints/quarryline"
+class Session:
+    """As much of a session as shared_dir() asks for."""
+
+    def __init__(self, **settings):
+        self.conf = settings
+
+
+def test_tables_are_written_where_the_session_says(spark):
+    assert common.shared_dir(Session(**{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+    assert common.shared_dir(Session()) == "/tmp/checkpoints/quarryline"
     df = common.cut(spark.range(5))
-    assert df._ql_path.startswith("/tmp/checkpoints/quarryline/") and df.count() == 5
+    assert df._ql_path.startswith(common.shared_dir(spark)) and df.count() == 5
     common.drop(df)
     assert not any(p == df._ql_path for _, p in common._WRITTEN)
