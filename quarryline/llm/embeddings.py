@@ -17,8 +17,10 @@ from quarryline.llm.simhash import forest
 SHARDS, SHARD_ROWS = 4, 250_000
 #: Vectors asked for in one task, and bytes of a piece of a stored graph.
 BLOCK, PIECE = 8192, 8 << 20
-#: Beam to begin with; queries audited against brute force in each task; recall of links to reach.
+#: Beam to begin with; queries audited against brute force at a time in each task; mean recall of a query's links to reach.
 BEAM, AUDIT, RECALL = 16, 256, 0.999
+#: Audited queries that have a link to another vector, before a recall counts.
+LINKED = 256
 #: Similarities in single precision are this near to those in double precision.
 SLACK = 1e-4
 
@@ -51,23 +53,50 @@ def _build(t: pa.Table) -> pa.Table:
     return pa.table({"dim": pa.array([dim] * len(pieces), pa.int32()), "shard": pa.array([shard] * len(pieces), pa.int32()), "piece": pa.array(range(len(pieces)), pa.int32()), "data": pa.array(pieces, pa.binary())})
 
 
-def search(x: np.ndarray, graph: Hnsw, index: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """(query, row) pairs of unit vectors with a cosine of at least ``least``, the beam used and its
-    recall. The beam doubles until the links of the audited queries, checked by brute force, are
-    found; where a beam of a quarter of the shard doesn't reach that, all rows are compared, in tiles."""
-    audit = np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(np.int64)
-    want = np.argwhere(x[audit] @ index.T >= least)
-    truth = want[:, 0] * np.int64(len(index)) + want[:, 1]
-    small, beam, recall = x.astype(np.float32), BEAM, 0.0
-    while beam * 4 <= max(len(index), 4 * BEAM):
+def search(
+    x: np.ndarray, graph: Hnsw, index: np.ndarray, least: float, own: np.ndarray | None = None, rep: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """(query, row) pairs of unit vectors with a cosine of at least ``least``, the beam used and its recall: the mean,
+    over audited queries with a link, of the share of their links that is found. Pairs whose ids (``own`` of the queries,
+    ``rep`` of the rows) are the same are no links.
+
+    Queries are audited by brute force until ``LINKED`` of them have a link; where that takes all of them, the audit is
+    the answer. The beam doubles until the recall is reached; where a beam of a quarter of the shard doesn't reach it, all rows
+    are compared, in tiles. Audited queries answer by the audit."""
+    small = x.astype(np.float32)
+    order = np.random.default_rng(7).permutation(len(x))
+    link = lambda q, i: np.ones(len(q), bool) if own is None or rep is None else rep[i] != own[q]
+    found, at, linked = [], 0, 0
+    while at < len(x) and linked < LINKED:
+        some = order[at : at + AUDIT]
+        q, i = _compare(x, small, graph, index, some, least)
+        found.append((q, i))
+        linked += len(np.unique(q[link(q, i)]))
+        at += len(some)
+    beam = BEAM
+    while at < len(x) and beam * 4 <= max(len(index), 4 * BEAM):
+        audit = order[:at]
+        true = np.concatenate([q[link(q, i)] for q, i in found])
         q, i = _exact(x[audit], index, *graph.within(small[audit], least - SLACK, beam), least)
-        recall = len(np.intersect1d(truth, q * np.int64(len(index)) + i)) / max(1, len(truth)) if len(truth) else 1.0
+        q = audit[q]
+        want, have = np.bincount(true, minlength=len(x)), np.bincount(q[link(q, i)], minlength=len(x))
+        recall = float((have[want > 0] / want[want > 0]).mean())
         if recall >= RECALL:
-            return *_exact(x, index, *graph.within(small, least - SLACK, beam), least), beam, recall
+            rest = order[at:]
+            q, i = _exact(x[rest], index, *graph.within(small[rest], least - SLACK, beam), least)
+            found.append((rest[q], i))
+            return np.concatenate([q for q, _ in found]), np.concatenate([i for _, i in found]), beam, recall
         beam *= 2
-    found = [np.argwhere(x[a : a + 256] @ index.T >= least) + [a, 0] for a in range(0, len(x), 256)]
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1], len(index), 1.0
+    found += [_compare(x, small, graph, index, order[a : a + AUDIT], least) for a in range(at, len(x), AUDIT)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(q for q, _ in found)]), np.concatenate([none, *(i for _, i in found)]), len(index), 1.0
+
+
+def _compare(x: np.ndarray, small: np.ndarray, graph: Hnsw, index: np.ndarray, some: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, row) pairs of the queries ``some``."""
+    near = np.argwhere(small[some] @ graph.x.T >= least - SLACK)
+    q, i = _exact(x[some], index, near[:, 0], near[:, 1], least)
+    return some[q], i
 
 
 def _exact(x: np.ndarray, index: np.ndarray, q: np.ndarray, i: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +114,7 @@ def _ask(least: float):
         graph = Hnsw.__new__(Hnsw)
         graph.x, graph.links, graph.level = index.astype(np.float32), links, level
         own = queries.column("rep").to_numpy()
-        q, i, _, _ = search(_matrix(queries.column("embedding")), graph, index, least)
+        q, i, _, _ = search(_matrix(queries.column("embedding")), graph, index, least, own, rep)
         other = rep[i] != own[q]
         q, i = q[other], i[other]
         n = np.bincount(q, weights=mult[i], minlength=len(own)).astype(np.int64)

@@ -81,3 +81,37 @@ def test_search_falls_back_to_all_rows_where_the_graph_is_broken():
     graph.links = [np.full_like(k, -1) for k in graph.links]
     q, i, beam, _ = embeddings.search(x, graph, x, 0.95)
     assert beam == len(x) and len(q) == (x @ x.T >= 0.95).sum()
+
+
+def halves(seed, pairs, random):
+    """Queries and rows: ``pairs`` of the queries have their only link among the rows, all the queries are rows too."""
+    x = clusters(seed, [2] * pairs, random)
+    asked = np.concatenate((np.arange(min(1, random)), np.arange(random, len(x), 2), np.arange(1, random)))
+    return x[asked], x, asked
+
+
+def test_audit_leaves_out_a_query_itself():
+    x, index, asked = halves(5, 3, 2500)
+    graph = Hnsw(index)
+    # rows of pairs that aren't asked can't be reached: each query finds itself and nothing else
+    lost = np.arange(2501, len(index), 2)
+    graph.links = [np.where(np.isin(k, lost), -1, k) for k in graph.links]
+    ids = np.arange(len(index))
+    q, i, _, recall = embeddings.search(x, graph, index, 0.95, asked, ids)
+    real = ids[i] != asked[q]
+    want = {tuple(p) for p in np.argwhere(x @ index.T >= 0.95) if asked[p[0]] != p[1]}
+    assert len(want) == 3 and set(zip(q[real].tolist(), i[real].tolist(), strict=True)) == want and recall == 1.0
+
+
+def test_recall_is_that_of_a_query_and_not_of_all_links():
+    group = clusters(6, [900], 0)
+    pairs, _, _ = halves(7, 400, 0)
+    index = np.concatenate((group, clusters(7, [2] * 400, 0)))
+    graph = Hnsw(index)
+    lost = np.arange(901, len(index), 2)
+    graph.links = [np.where(np.isin(k, lost), -1, k) for k in graph.links]
+    x = np.concatenate((group, pairs))
+    asked = np.concatenate((np.arange(900), np.arange(900, len(index), 2)))
+    q, i, _, _ = embeddings.search(x, graph, index, 0.95, asked, np.arange(len(index)))
+    want = {tuple(p) for p in np.argwhere(x @ index.T >= 0.95)}
+    assert set(zip(q.tolist(), i.tolist(), strict=True)) == want
