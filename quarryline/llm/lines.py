@@ -148,7 +148,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with _ql_lines int, _ql_removed int, and text without the lines that stand earlier in the table already.
 
     Lines are parted by \\n. A line of ``least`` words or more goes if the same words, or words within
-    one insertion, deletion or replacement of a word (similarity 0.8 or more), stand earlier: in a smaller
+    one insertion, deletion or replacement of a word, whatever the length of the line, stand earlier: in a smaller
     doc_id (null first), or further up in the same text; whether that line itself stays doesn't matter.
     Other lines stay as they are. Repeated rows are one document and change alike; texts of one
     doc_id are ordered by their hash. A null text stays null with 0 lines. An empty table gives no rows.
