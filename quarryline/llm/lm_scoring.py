@@ -13,7 +13,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quarryline.llm.common import cut, small_batches
 
-#: Words that are classes of their own, classes that the other words share, and words known by name at most.
+#: Words that are classes of their own, classes that the other words share, and words held by name in every task at most; the
+#: counts of the others stay in a table.
 SINGLE, SHARED, KNOWN = 40, 24, 50_000
 #: Counts that the frequency border of named words is found among one by one; above, in steps of a 64th of a doubling.
 COUNTS = 4096
@@ -134,9 +135,12 @@ def windows(cls: np.ndarray) -> np.ndarray:
     return (padded[:-2] * CLASSES + padded[2:]) * CLASSES + cls
 
 
-def _vocabulary(texts: DataFrame, known: int) -> Vocabulary:
+def _vocabulary(texts: DataFrame, known: int | None) -> tuple[Vocabulary, DataFrame | None]:
     """Counts of all words of the corpus: by name those that are as frequent as a border that at most ``known`` words reach, the
-    others by shape."""
+    others by shape. Where ``known`` is None, KNOWN words are held by name, and the others are a table (w, own) of the
+    log-probability of a word within its shape class, by its count; None where there are no others."""
+    counted = known is None
+    known = KNOWN if known is None else known
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
@@ -161,17 +165,28 @@ def _vocabulary(texts: DataFrame, known: int) -> Vocabulary:
     names = texts.sparkSession.sparkContext.broadcast({w for w, _ in top})
 
     def by_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.zeros(_SHAPES, np.int64)
+        kinds, mass = np.zeros(_SHAPES, np.int64), np.zeros(_SHAPES, np.int64)
         for b in batches:
-            for w in b.column(0).to_pylist():
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if w not in names.value:
                     kinds[shape(w) - (CLASSES - _SHAPES)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SHAPES), pa.int32()), pa.array(kinds)], ["c", "kinds"])
+                    mass[shape(w) - (CLASSES - _SHAPES)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SHAPES), pa.int32()), pa.array(kinds), pa.array(mass)], ["c", "kinds", "mass"])
 
-    kinds = np.zeros(_SHAPES)
-    for c, k in words.mapInArrow(by_shape, "c int, kinds long").groupBy("c").agg(F.sum("kinds")).collect():
-        kinds[c] = k
-    return Vocabulary(top, kinds)
+    kinds, mass = np.zeros(_SHAPES), np.zeros(_SHAPES)
+    for c, k, m in words.mapInArrow(by_shape, "c int, kinds long, mass long").groupBy("c").agg(F.sum("kinds"), F.sum("mass")).collect():
+        kinds[c], mass[c] = k, m
+    if not counted:
+        return Vocabulary(top, kinds), None
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rest = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in names.value]
+            own = [float(np.log(n / mass[shape(w) - (CLASSES - _SHAPES)])) for w, n in rest]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rest], pa.binary()), pa.array(own, pa.float64())], ["w", "own"])
+
+    # the shares of these words come from the table, so the vocabulary gives them none
+    return Vocabulary(top, np.zeros(_SHAPES)), words.mapInArrow(shares, "w binary, own double") if kinds.sum() else None
 
 
 def _context_counts(texts: DataFrame, shared) -> np.ndarray:
@@ -194,25 +209,60 @@ def _context_counts(texts: DataFrame, shared) -> np.ndarray:
     return out.reshape(CLASSES, CLASSES, CLASSES)
 
 
-def score(docs: DataFrame, known: int = KNOWN) -> DataFrame:
+#: Log-probabilities are summed over tasks as whole numbers of this fraction, so that their order doesn't matter.
+_UNIT = 2.0**-32
+
+
+def _shares_of_texts(texts: DataFrame, names, rest: DataFrame) -> DataFrame:
+    """(_a, _b, _share) by the two hashes of a text: the sum of the log-probabilities within their class of its words that only
+    the table ``rest`` has. Copies of a text are one."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ws, ns, at = [], [], []
+            for i, t in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
+                for w, n in Counter(tokens(t)).items():
+                    if w not in names.value.cls:
+                        ws.append(w)
+                        ns.append(n)
+                        at.append(i)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(ws, pa.binary()), pa.array(ns, pa.int64())], ["_a", "_b", "w", "n"])
+
+    a, b = _text_key()
+    found = texts.select("text", a.alias("_a"), b.alias("_b")).mapInArrow(words, "_a long, _b long, w binary, n long").distinct()
+    share = F.sum(F.round(F.col("n") * F.col("own") / _UNIT).cast("long"))
+    return found.join(rest, "w").groupBy("_a", "_b").agg((share * _UNIT).alias("_share"))
+
+
+def _text_key():
+    text = F.col("text").cast("string")
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def score(docs: DataFrame, known: int | None = None) -> DataFrame:
     """All columns of ``docs``, with _ql_tokens long and _ql_score double: the sum over all words of a text of
     log P(word | both sides).
 
     P is the network's probability of the word's class given the classes of its two neighbours, times the
     word's share of its class. Classes and shares come from counts of all words of the corpus, the network is
-    trained on the counts of all windows of the corpus: both passes read every document whole, and what
-    reaches the driver is bounded by ``known`` words and CLASSES ** 3 counts. Null and empty texts have
+    trained on the counts of all windows of the corpus: both passes read every document whole. KNOWN words are held by
+    name in every task; the counts of the others stay in a table that is joined to the words of the texts, so each
+    word has the share that its own count gives it. Where ``known`` is given, there is no such table: the words beyond
+    it are alike likely within their shape. What reaches the driver is bounded by the words held by name and CLASSES ** 3 counts. Null and empty texts have
     no words and score 0. Repeated rows count and score as often as they stand. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    vocabulary = _vocabulary(texts, known)
+    vocabulary, rest = _vocabulary(texts, known)
     names = spark.sparkContext.broadcast(vocabulary)
     network = WindowNetwork()
     network.fit(_context_counts(texts, names))
     table = spark.sparkContext.broadcast(network.table().ravel())
-    at, cols = docs.columns.index("text"), docs.columns
+    a, b = _text_key()
+    keyed = docs if rest is None else docs.withColumns({"_ql_a": a, "_ql_b": b})
+    at, cols = keyed.columns.index("text"), keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,11 +277,17 @@ def score(docs: DataFrame, known: int = KNOWN) -> DataFrame:
                     total.append(0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(total, pa.float64())], [*cols, "_ql_tokens", "_ql_score"])
 
-    schema = StructType([*docs.schema.fields, StructField("_ql_tokens", LongType()), StructField("_ql_score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*keyed.schema.fields, StructField("_ql_tokens", LongType()), StructField("_ql_score", DoubleType())])
+    scored = keyed.mapInArrow(run, schema)
+    if rest is None:
+        return scored
+    shares = _shares_of_texts(texts, names, rest).select(F.col("_a").alias("_ql_a"), F.col("_b").alias("_ql_b"), F.col("_share").alias("_ql_share"))
+    whole = scored.join(cut(shares), ["_ql_a", "_ql_b"], "left")
+    total = F.col("_ql_score") + F.coalesce("_ql_share", F.lit(0.0))
+    return whole.select(*docs.columns, "_ql_tokens", total.alias("_ql_score"))
 
 
-def report(docs: DataFrame, known: int = KNOWN) -> DataFrame:
+def report(docs: DataFrame, known: int | None = None) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and per_token (null without tokens) of every row of ``docs``; see score()."""
     found = score(docs.select("doc_id", "text"), known)
     n, s = F.col("_ql_tokens"), F.col("_ql_score")

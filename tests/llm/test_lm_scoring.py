@@ -88,3 +88,39 @@ def test_odd_rows(spark):
     assert all(math.isfinite(r[2]) for r in got) and got.count(next(r for r in got if r[0] == 4)) == 2
     assert lm_scoring.report(df.limit(0)).count() == 0
     assert lm_scoring.score(df).columns == [*df.columns, "_ql_tokens", "_ql_score"]
+
+
+def test_every_word_has_the_share_of_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KNOWN", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(None, None), (-1, "")], docs.schema))
+    got = lm_scoring.report(docs).collect()
+    rows = docs.collect()
+    texts = [(r.text or "").encode().lower().split() for r in rows]
+    counts = Counter(w for t in texts for w in t)
+    least = next(c for c in range(1, 10**6) if sum(n >= c for n in counts.values()) <= 500)
+    top = sorted(((w, n) for w, n in counts.items() if n >= least), key=lambda x: (-x[1], x[0]))
+    v = Vocabulary(top, np.zeros(8))
+    mass = Counter()
+    for w, n in counts.items():
+        if w not in v.cls:
+            mass[lm_scoring.shape(w)] += n
+    windows = np.zeros(CLASSES**3)
+    for t in texts:
+        if t:
+            np.add.at(windows, lm_scoring.windows(v.lookup(t)[0]), 1)
+    net = WindowNetwork()
+    net.fit(windows.reshape((CLASSES,) * 3))
+    table = net.table().ravel()
+    want = Counter()
+    for r, t in zip(rows, texts, strict=True):
+        s = 0.0
+        if t:
+            cls, own = v.lookup(t)
+            s = float(table[lm_scoring.windows(cls)].sum(dtype=np.float64) + own.sum())
+            s += sum(math.log(counts[w] / mass[lm_scoring.shape(w)]) for w in t if w not in v.cls)
+        want[r.doc_id, len(t), round(s / max(1, len(t)), 3)] += 1
+    assert len(counts) > 10_000 and len(got) == len(rows)
+    near = {(d, n): s for d, n, s in want}
+    assert all(abs((r.log_likelihood / max(1, r.n_tokens)) - near[r.doc_id, r.n_tokens]) < 2e-3 for r in got)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((d, n) for (d, n, _), k in want.items() for _ in range(k))
