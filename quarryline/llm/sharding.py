@@ -78,8 +78,22 @@ def shard(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     size: UTF-8 bytes of the text plus 1 (null: 1). text_crc32: of the UTF-8 bytes (null: of none).
     slot: gapless from 0 in each shard, by a hash of doc_id and text, then doc_id, size and crc;
     rows that are the same in all of these take following slots. Null doc_ids are one key of their
-    own. An empty table gives no rows; further columns are ignored.
+    own. An empty table gives no rows; further columns are ignored. This is the digest; assign() keeps the documents.
     """
+    return _placed(docs, tree).select(*DIGEST)
+
+
+def assign(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
+    """All columns of ``docs``, with the columns of shard() but doc_id, their names begun by _ql_."""
+    placed = _placed(docs, tree, F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    return placed.select("_row.*", *(F.col(c).alias(f"_ql_{c}") for c in DIGEST[1:]))
+
+
+#: Columns of shard().
+DIGEST = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def _placed(docs: DataFrame, tree: Tree | None, *more: Column) -> DataFrame:
     tree = tree or Tree.even()
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     placed = docs.select(
@@ -89,8 +103,9 @@ def shard(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
         tree.shard(key).cast("int").alias("shard"),
         tree.grown().shard(key).cast("int").alias("grown_shard"),
         F.xxhash64("doc_id", "text").alias("_h"),
+        *more,
     )
-    return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return _slots(placed).withColumn("law", F.lit("key"))
 
 
 def _slots(placed: DataFrame) -> DataFrame:
@@ -104,6 +119,6 @@ def _slots(placed: DataFrame) -> DataFrame:
     return placed.withColumn("_i", F.row_number().over(order) - 1).join(offsets, ["shard", "_r"]).withColumn("slot", (F.col("_below") + F.col("_i")).cast("long"))
 
 
-def write(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard."""
-    sharded.repartition("shard", F.pmod("slot", F.lit(64))).write.partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, tree: Tree | None = None) -> None:
+    """The documents with all their columns and those of assign(), one folder for each shard."""
+    assign(docs, tree).repartition("_ql_shard", F.pmod("_ql_slot", F.lit(64))).write.partitionBy("_ql_shard").parquet(path)

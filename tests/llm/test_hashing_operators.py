@@ -211,3 +211,14 @@ def test_growth_of_any_tree_moves_rows_only_into_the_new_shard(spark):
     weight = [1, 3, 2, 1, 1, 1, 4, 2]
     for n, w in enumerate(weight):
         assert abs(counts[n] - 4000 * w / 15) < 5 * (4000 * w / 15) ** 0.5
+
+
+def test_shards_are_written_with_their_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(frame(spark, ODD).drop("fp", "_size", "shard")).selectExpr("*", "'x' as shard", "1 as _h")
+    sharding.write(docs, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    cols = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    digest = Counter(map(tuple, sharding.shard(docs).collect()))
+    assert Counter(map(tuple, back.select("doc_id", *(f"_ql_{c}" for c in cols)).collect())) == digest
+    assert len(list((tmp_path / "out").glob("_ql_shard=*"))) == 8
