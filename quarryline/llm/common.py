@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word contracts.
@@ -15,8 +17,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quarryline").rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Where the session names none, a folder of the user's home in the
+    default file system, which is the shared store of a cluster."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    return f"{files.getHomeDirectory()}/.quarryline"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,10 +59,42 @@ def _sweep() -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, since texts may be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, since texts may be very long. Spark bounds the bytes of a batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def aside(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``work``; those whose names begin with _ql_ have other names meanwhile, so that they don't
+    meet columns that ``work`` adds."""
+    other = [f"own{c}" if c.lower().startswith("_ql_") else c for c in docs.columns]
+    return work(docs.toDF(*other)).select(*other).toDF(*docs.columns)
+
+
+#: A sieve has so many bits: 8 MB whatever the table holds, in pieces of 32,768 bits.
+SIEVE_BITS, PIECE_BITS = 26, 15
+
+
+def _place(h: Column) -> tuple[Column, Column]:
+    at = F.shiftrightunsigned(h, 64 - SIEVE_BITS)
+    return F.shiftright(at, PIECE_BITS), at.bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
+
+
+def sieve(hashes: DataFrame, h: str) -> DataFrame:
+    """(_piece, _bits) of a set of hashes."""
+    piece, bit = _place(F.col(h))
+    return hashes.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def passes(rows: DataFrame, h: Column, through: DataFrame) -> DataFrame:
+    """``rows`` with _in: false only where the hash isn't in the set. The sieve is broadcast; what it lets through is joined exactly later."""
+    piece, bit = _place(h)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))).cast("int") % 2 == 1
+    joined = rows.withColumn("_p", piece).join(F.broadcast(through), F.col("_p") == F.col("_piece"), "left")
+    return joined.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("_p", "_piece", "_bits")
 
 
 def components(edges: DataFrame) -> DataFrame:

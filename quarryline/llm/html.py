@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import gbt
-from quarryline.llm.common import small_batches
+from quarryline.llm.common import slices
 from quarryline.llm.dom import Page, parse
 
 #: Tags with a feature of their own; the others share one.
@@ -313,11 +313,10 @@ def extract(pages: DataFrame, model: gbt.Boosted | None = None) -> DataFrame:
     empty text. Repeated rows give repeated rows; an empty table gives no rows; null ids and urls stay;
     further columns are ignored. Pages are handled one by one, so any of them may be long.
     """
-    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # a few KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             htmls, texts = b.column(2), []
             for i in range(0, len(htmls), 64):
                 texts += main_texts(htmls[i : i + 64].to_pylist(), shared.value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import cut
+from quarryline.llm.common import cut, passes, sieve
 
 #: Lines of fewer words are left alone.
 LEAST = 5
@@ -50,30 +50,6 @@ def _deletions(word: Column, n: Column, first: Column, last: Column) -> Column:
     return F.element_at(F.transform(F.array(sums), lambda s: F.concat(places(s), whole(s))), 1)
 
 
-#: A sieve has so many bits: 8 MB whatever the table holds, in pieces of 32,768 bits.
-SIEVE_BITS, PIECE_BITS = 26, 15
-
-
-def _place(h: Column) -> tuple[Column, Column]:
-    at = F.shiftrightunsigned(h, 64 - SIEVE_BITS)
-    return F.shiftright(at, PIECE_BITS), at.bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
-
-
-def sieve(hashes: DataFrame, h: str) -> DataFrame:
-    """(_piece, _bits) of a set of hashes."""
-    piece, bit = _place(F.col(h))
-    return hashes.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-
-
-def passes(rows: DataFrame, h: Column, through: DataFrame) -> DataFrame:
-    """``rows`` with _in: false only where the hash isn't in the set. The sieve is broadcast; what it lets through is joined exactly later."""
-    piece, bit = _place(h)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    inside = F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))).cast("int") % 2 == 1
-    joined = rows.withColumn("_p", piece).join(F.broadcast(through), F.col("_p") == F.col("_piece"), "left")
-    return joined.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("_p", "_piece", "_bits")
-
-
 def edit_at_most_one(a: Column, b: Column) -> Column:
     """Whether two arrays of words are within one insertion, deletion or replacement: without their common
     beginning and their common end, at most one word of the longer one is left."""

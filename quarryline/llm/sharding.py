@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import cut
+
 #: Bits of a hash draw (a double holds them exactly), and of the ranges that slots are counted in.
 DRAW, RANGES = 52, 10
 
@@ -25,6 +27,14 @@ class Tree:
     regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
     added: tuple[tuple[int, float], ...] = ()
 
+    def __post_init__(self) -> None:
+        """A weight is above 0 and finite, and each number stands once; a shard that is to take nothing is left out of the tree."""
+        shards = [s for region in self.regions for rack in region for s in rack] + list(self.added)
+        if any(not 0 < w < float("inf") for _, w in shards):
+            raise ValueError("the weight of a shard must be above 0")
+        if not shards or len({n for n, _ in shards}) < len(shards) or not all(region and all(region) for region in self.regions):
+            raise ValueError("a tree has shards with different numbers, and no empty region or rack")
+
     @classmethod
     def even(cls, regions: int = 2, racks: int = 2, shards: int = 2) -> Tree:
         return cls(
@@ -77,46 +87,57 @@ def shard(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
     The law is `key`: doc_id and the tree decide alone, and one more shard takes rows only into itself.
     size: UTF-8 bytes of the text plus 1 (null: 1). text_crc32: of the UTF-8 bytes (null: of none).
     slot: gapless from 0 in each shard, by a hash of doc_id and text, then doc_id, size and crc;
-    rows that are the same in all of these take following slots. Null doc_ids are one key of their
-    own. An empty table gives no rows; further columns are ignored. This is the digest; assign() keeps the documents.
+    rows that are the same in all of these take following slots. They are counted before they are shuffled, and spread again
+    at the end, so many copies of a row meet in no task. Null doc_ids are one key of their
+    own. An empty table gives no rows; texts are read whole, however long; further columns are ignored. This is the digest;
+    assign() keeps the documents.
     """
-    return _placed(docs, tree).select(*DIGEST)
+    placed = docs.select("doc_id", *_digest(tree))
+    same = cut(placed.groupBy(*placed.columns).agg(F.count("*").alias("_n")))
+    rows = _slots(same, "_n").withColumn("law", F.lit("key"))
+    places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = rows.where(F.col("_n") <= COPIES).withColumn("_i", places(F.col("_n")))
+    many = rows.where(F.col("_n") > COPIES).withColumn("_c", places(F.ceil(F.col("_n") / COPIES))).repartition("_h", "_c")
+    many = many.withColumn("_i", places(F.least(F.lit(COPIES).cast("long"), F.col("_n") - F.col("_c") * COPIES))).withColumn("_i", F.col("_c") * COPIES + F.col("_i"))
+    return few.unionByName(many.drop("_c")).withColumn("slot", F.col("slot") + F.col("_i")).select(*DIGEST)
 
 
 def assign(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
-    """All columns of ``docs``, with the columns of shard() but doc_id, their names begun by _ql_."""
-    placed = _placed(docs, tree, F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
-    return placed.select("_row.*", *(F.col(c).alias(f"_ql_{c}") for c in DIGEST[1:]))
+    """All columns of ``docs``, with the columns of shard() but doc_id, their names begun by _ql_ (columns of these names are
+    replaced). Rows that are the same are ordered in one task, which spills."""
+    docs = docs.drop(*(f"_ql_{c}" for c in DIGEST))
+    placed = docs.select("doc_id", *_digest(tree), F.lit(1).cast("long").alias("_one"), F.struct(*docs.columns).alias("_row"))
+    rows = _slots(placed, "_one").withColumn("law", F.lit("key"))
+    return rows.select("_row.*", *(F.col(c).alias(f"_ql_{c}") for c in DIGEST[1:]))
 
 
 #: Columns of shard().
 DIGEST = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+#: Copies of a row that one task makes at a time.
+COPIES = 1 << 16
 
 
-def _placed(docs: DataFrame, tree: Tree | None, *more: Column) -> DataFrame:
+def _digest(tree: Tree | None) -> list[Column]:
     tree = tree or Tree.even()
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    placed = docs.select(
-        "doc_id",
+    return [
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         tree.shard(key).cast("int").alias("shard"),
         tree.grown().shard(key).cast("int").alias("grown_shard"),
         F.xxhash64("doc_id", "text").alias("_h"),
-        *more,
-    )
-    return _slots(placed).withColumn("law", F.lit("key"))
+    ]
 
 
-def _slots(placed: DataFrame) -> DataFrame:
-    """Number the rows of each shard without gathering it: rows are ordered within ranges of the hash,
-    and the counts of a shard's lower ranges (2 ** RANGES rows a shard) are added."""
+def _slots(placed: DataFrame, n: str) -> DataFrame:
+    """``placed`` with slot, its first place: a row takes ``n`` of them. Rows are ordered within ranges of the hash,
+    and the counts of a shard's lower ranges (2 ** RANGES rows a shard) are added, so no shard is gathered."""
     placed = placed.withColumn("_r", F.shiftrightunsigned("_h", 64 - RANGES))
-    counts = placed.groupBy("shard", "_r").agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("shard", "_r", below.alias("_below"))
+    counts = placed.groupBy("shard", "_r").agg(F.sum(n).alias("_all"))
+    before = lambda of, w: F.coalesce(F.sum(of).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("shard", "_r", before("_all", W.partitionBy("shard").orderBy("_r")).alias("_below"))
     order = W.partitionBy("shard", "_r").orderBy("_h", "doc_id", "size", "text_crc32")
-    return placed.withColumn("_i", F.row_number().over(order) - 1).join(offsets, ["shard", "_r"]).withColumn("slot", (F.col("_below") + F.col("_i")).cast("long"))
+    return placed.withColumn("_at", before(n, order)).join(offsets, ["shard", "_r"]).withColumn("slot", (F.col("_below") + F.col("_at")).cast("long"))
 
 
 def write(docs: DataFrame, path: str, tree: Tree | None = None) -> None:

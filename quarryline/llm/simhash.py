@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import components, cut, small_batches
+from quarryline.llm.common import aside, components, cut, passes, sieve, slices
 
 BITS = 64
 BLOCKS = 7
@@ -42,10 +42,9 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long. A null text counts as empty."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, width, seed) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -173,8 +172,23 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
 def dedup(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the row of the smallest doc_id, once.
 
-    Rows with a null doc_id belong to no group and all stay.
+    Of several rows of one doc_id that of the smallest hash of all its columns stays, and one of those that are the same in
+    all. Rows with a null doc_id belong to no group and all stay. Null and empty texts are a group. An empty table gives no rows.
+
+    Ids are decided on, not rows: a broadcast sieve of 8 MB parts the rows whose ids neither go nor come again, which stay where
+    they are, from the others, which are joined with the decisions.
     """
-    keep = near_duplicates(docs, distance, width, seed).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    one = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    ids = near_duplicates(docs, distance, width, seed).where("doc_id is not null").groupBy("doc_id")
+    decided = ids.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_ql_stays"), F.count("*").alias("_ql_n"))
+    odd = cut(decided.where("not _ql_stays or _ql_n > 1").select(F.col("doc_id").alias("_ql_id"), "_ql_stays").withColumn("_ql_h", F.xxhash64("_ql_id")))
+
+    def kept(d: DataFrame) -> DataFrame:
+        sieved = passes(d, F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(0)), sieve(odd, "_ql_h"))
+        plain = F.col("doc_id").isNull() | ~F.col("_in")
+        rest = sieved.where(~plain).drop("_in")
+        rest = rest.join(odd, rest["doc_id"].cast("long") == odd["_ql_id"], "left").where(F.coalesce("_ql_stays", F.lit(True)))
+        row = F.struct(*d.columns)
+        again = rest.where("_ql_id is not null").groupBy("_ql_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_ql_row")).select("_ql_row.*")
+        return sieved.where(plain).select(*d.columns).unionByName(rest.where("_ql_id is null").select(*d.columns)).unionByName(again)
+
+    return aside(docs, kept)

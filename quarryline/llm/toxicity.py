@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from quarryline.llm.common import cut, small_batches
+from quarryline.llm.common import aside, cut, slices
 
 #: Characters of context at each level of the models.
 CONTEXTS = (0, 1, 2, 4, 7)
-#: What is discounted from counts of one, of two, and above.
-DISCOUNTS = (1.0, 1.4, 1.7)
-FEATURES = 5
-#: Labelled documents of each class that the models are fitted on at most.
-SAMPLE = 2500
-#: Different words of the sample that the models are built from at most; beyond it the smallest hashes,
-#: since the most frequent ones would favour what copies repeat.
-WORDS = 600_000
+#: Of a class's own counts of one, two, and more so much is discounted at least, whatever the estimate: a word that one document of a class has says
+#: nothing about the class yet.
+CLASS_DISCOUNTS = np.ones(3)
+#: Labelled documents of each class that the models are fitted on at most, and bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = 2500, 6 << 20
+#: Parts of the sample, each scored by models of the others.
+FOLDS = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,14 +99,33 @@ class _Table:
         return out
 
 
+def discounts(count: np.ndarray) -> np.ndarray:
+    """What is taken from counts of one, two, and three or more: estimated from how many grams have counts of one to
+    four, each at most the count itself and at least 0.1, since something must go to what is unseen. Where one of these is missing, all of a count of one goes, and as much of the others."""
+    n = np.bincount(np.minimum(count[count > 0], 5).astype(np.int64), minlength=6)[1:5].astype(np.float64)
+    if not n.all():
+        return np.ones(3)
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.clip([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0.1, (1, 2, 3))
+
+
+def _discount(count: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """What is taken from a count and given to the distribution below."""
+    return np.where(count > 2, off[2], np.where(count > 1, off[1], np.minimum(count, off[0])))
+
+
 def _tables(gram: np.ndarray, context: np.ndarray, number: np.ndarray, weights: list[np.ndarray]) -> tuple[_Table, _Table]:
     """For each of the weights (by number): by gram its count less the discount, and by context the count and what
-    is discounted after it."""
+    is discounted after it. The discounts are those of the first of the weights, but all of a class's own count of one goes: it
+    says nothing about a class yet."""
     g, first, where = np.unique(gram, return_index=True, return_inverse=True)
     context = context[first]
     count = np.stack([np.bincount(where, weights=w[number], minlength=len(g)) for w in weights], axis=1)
     del where
-    off = _discount(count)
+    of = discounts(count[:, 0])
+    off = _discount(count, of)
+    if len(weights) > 1:
+        off[:, 1:] = _discount(count[:, 1:], np.maximum(of, CLASS_DISCOUNTS))
     c, where = np.unique(context, return_inverse=True)
     total, given = (np.stack([np.bincount(where, weights=w, minlength=len(c)) for w in x.T], axis=1) for x in (count, off))
     # a gram of which nothing is left, and a context after which all is discounted, say what an absent one says
@@ -112,12 +133,6 @@ def _tables(gram: np.ndarray, context: np.ndarray, number: np.ndarray, weights:
     return _Table(g[some], (count - off)[some]), _Table(c[rest], np.concatenate((total, given), axis=1)[rest])
 
 
-def _discount(count: np.ndarray) -> np.ndarray:
-    """What is taken from a count and given to the distribution below; all of a count of one, which
-    says nothing about a class yet."""
-    return np.where(count > 2, DISCOUNTS[2], np.where(count > 1, DISCOUNTS[1], np.minimum(count, DISCOUNTS[0])))
-
-
 def _mixed(above: np.ndarray, total: np.ndarray, off: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.where(total > 0, (above + off * below) / np.maximum(total, 1), below)
 
@@ -167,177 +182,144 @@ class ClassModels:
 
 
 class Scorer:
-    """Features and scores of documents, remembering the words seen last."""
+    """Statistics and scores of documents, remembering the words seen last."""
 
-    def __init__(self, models: ClassModels, weights: np.ndarray | None = None):
-        self.models, self.weights = models, weights
+    def __init__(self, models: ClassModels, line: tuple[float, float] | None = None):
+        self.models, self.line = models, line
         self.known: dict[bytes, float] = {}
 
-    def features(self, texts: list[bytes | None]) -> np.ndarray:
-        """Of each text the difference of log-likelihoods by its length, and the means of the 1, 3 and 8 largest differences of different words; and the log of their number, since
-        the largest of many are larger.
-        """
-        docs = [tokens(t) for t in texts]
+    def differences(self, texts: list[bytes | None]) -> np.ndarray:
+        """Of each text the length-normalised difference of its log-likelihoods: log of the mean over its different words of
+        P(word | toxic) / P(word | ordinary). That is the likelihood of a text with one toxic word, whichever it is,
+        against that of an ordinary one; a text without words is as likely either way (0)."""
+        docs = [set(tokens(t)) for t in texts]
         if len(self.known) > 500_000:
             self.known.clear()
-        fresh = list({w for d in docs for w in d} - self.known.keys())
-        self.known.update(zip(fresh, self.models.ratio(fresh).tolist(), strict=True))
-        out = np.zeros((len(docs), FEATURES))
-        for i, d in enumerate(docs):
-            if d:
-                r = np.fromiter(map(self.known.__getitem__, d), np.float64, len(d))
-                kinds = set(d)
-                best = np.sort(np.fromiter(map(self.known.__getitem__, kinds), np.float64, len(kinds)))[-8:][::-1]
-                out[i] = r.mean(), best[0], best[:3].sum() / 3, best.sum() / 8, np.log(len(kinds))
-        return out
+        fresh = list(set().union(*docs) - self.known.keys())
+        self.known.update(zip(fresh, np.exp(self.models.ratio(fresh)).tolist(), strict=True))
+        get = self.known.__getitem__
+        return np.array([math.log(math.fsum(map(get, d)) / len(d)) if d else 0.0 for d in docs])
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        return logistic(self.features(texts), self.weights)
+        return logistic(self.differences(texts), self.line)
 
 
-def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -40, 40)))
+def logistic(x: np.ndarray, line: tuple[float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(line[0] + line[1] * x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Newton's method; bias first. Features are scaled for the penalty and scaled back. All but the last
-    feature speak for label 1 or not at all: those that would speak against it are left out, worst first."""
-    used = list(range(x.shape[1]))
-    while True:
-        w = _newton(x[:, used], y, weight, penalty)
-        worst = min(((w[1 + k] * x[:, c].std(), k) for k, c in enumerate(used) if c < x.shape[1] - 1), default=(0, 0))
-        if worst[0] >= 0:
-            out = np.zeros(x.shape[1] + 1)
-            out[[0, *(c + 1 for c in used)]] = w
-            return out
-        used.pop(worst[1])
-
-
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
-    scale = np.maximum(x.std(axis=0), 1e-9)
-    z = np.column_stack([np.ones(len(x)), x / scale])
-    w = np.zeros(z.shape[1])
-    ridge = penalty * weight.sum() / 100 * np.eye(len(w))
-    ridge[0, 0] = 1e-9
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float = 1e-3) -> tuple[float, float]:
+    """Bias and slope by Newton's method; the slope is ``least`` at least, so that the score rises with the difference."""
+    z = np.column_stack([np.ones(len(x)), x])
+    ridge = np.diag([1e-9, 1e-4 * weight.sum()])
+    w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         g = z.T @ (weight * (p - y)) + ridge @ w
-        h = (z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + ridge
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + ridge, g)
         w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-10:
             break
-    return np.concatenate(([w[0]], w[1:] / scale))
+    return float(w[0]), max(least, float(w[1]))
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two min-hashes of the five-word shingles of each text, to leave copies out of a sample."""
-    for b in batches:
+    for b in slices(batches):
         least = []
         for t in b.column(0).cast(pa.binary()).to_pylist():
             w = tokens(t)
             h = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))], np.uint64)
             least.append((h.min(), (h * _P).min()))
         both = np.array(least, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], ["text", "toxic", "half", "s0", "s1"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], ["text", "toxic", "h", "doc_id", "s0", "s1"])
 
 
-def held_out(doc_id="doc_id"):
+def held_out(doc_id: str = "doc_id") -> Column:
     """Whether labels of a document are kept from training: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> tuple[bytes, np.ndarray] | None:
-    """Fit on the labelled documents that are not held out, at most ``sample`` of each class (the
-    smallest hashes of doc_id): the pickled models and the weights of the
-    features; None where a class has no document. A document with several labels is
-    toxic if one says so; null ids and labels are ignored.
-
-    Words are counted on the executors, once for each document that has them;
-    copies within the sample are left out by min-hashes. Two halves of the sample score each other for the logistic
-    weights of the features, so that these come from documents that the models have not seen; the
-    final models hold both halves. What reaches the driver is bounded by ``sample`` and ``words``.
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled models of a sample (h, doc_id, t, toxic, text), and the label and difference of each of its documents."""
+    rows = pa.Table.from_batches(batches, schema=_SAMPLE).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("t", "ascending")])
+    y, fold = rows.column(3).to_numpy(), rows.column(0).to_numpy() % FOLDS
+    texts = rows.column(4).cast(pa.binary()).to_pylist()
+    counts: dict[bytes, np.ndarray] = {}  # documents that have a word, by fold and class
+    for t, f, c in zip(texts, fold.tolist(), y.tolist(), strict=True):
+        for w in set(tokens(t)):
+            if w not in counts:
+                counts[w] = np.zeros((FOLDS, 2), np.int16)
+            counts[w][f, c] += 1
+    words = sorted(counts)
+    n = np.array([counts[w] for w in words], np.int64).reshape(-1, FOLDS, 2)
+    del counts
+    models = lambda k: ClassModels({w: c for w, c in zip(words, k.tolist(), strict=True) if c[0] or c[1]})
+    x = np.zeros(len(texts))
+    for f in range(FOLDS):
+        at = np.flatnonzero(fold == f)
+        if len(at):
+            x[at] = Scorer(models(n.sum(axis=1) - n[:, f])).differences([texts[i] for i in at])
+    yield pa.RecordBatch.from_arrays([pa.array([models(n.sum(axis=1)).dump()], pa.binary()), pa.array([None], pa.int32()), pa.array([None], pa.float64())], ["m", "y", "x"])
+    yield pa.RecordBatch.from_arrays([pa.array([None] * len(y), pa.binary()), pa.array(y, pa.int32()), pa.array(x)], ["m", "y", "x"])
+
+
+_SAMPLE = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("toxic", pa.int32()), ("text", pa.string())])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[bytes, tuple[float, float]] | None:
+    """Fit on labelled documents that are not held out: the pickled models, and bias and slope of the score; None where a class
+    has no document. Of each class these are the documents of the smallest hashes of doc_id, at most ``sample``, as long
+    as their texts together have at most ``sample_bytes`` bytes; all words of each of them count. A document with several labels is
+    toxic if one says so; null ids and labels are ignored; of texts that share a min-hash the smallest id stays.
+
+    The models are made by one task, which holds no more than the sample. Models of the other folds score each document for bias
+    and slope, so that these come from documents that a model has not seen; the final models hold all folds. All
+    choices go by total orders and sums are of whole numbers, so the same rows give the same fit, however they are dealt.
     """
     marked = (
         labels.where("doc_id is not null and toxic in (0, 1)")
         .where(~held_out())
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
         .withColumn("h", F.xxhash64("doc_id"))
     )
     total = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     if not (total.get(0) and total.get(1)):
         return None
-    of = lambda y: marked.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(sample)
-    picked = of(0).unionByName(of(1)).select(F.col("doc_id").alias("i"), "toxic", (F.pmod("h", F.lit(2))).alias("half"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = (texts.join(F.broadcast(picked), F.col("doc_id") == F.col("i")).select("text", "toxic", "half")  # 2 * sample ids
-    )
-
-    chosen = cut(found.mapInArrow(sketch, "text string, toxic int, half long, s0 long, s1 long").dropDuplicates(["s0", "toxic"]).dropDuplicates(["s1", "toxic"]).select("text", "toxic", "half"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [Counter(), Counter(), Counter(), Counter()]
-            for t, y, half in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n[2 * half + y].update(set(tokens(t)))
-            every = list(set().union(*n))
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in n)], ["w", "a", "b", "c", "d"])
-
-    counted = (
-        chosen.mapInArrow(count, "w binary, a long, b long, c long, d long")
-        .groupBy("w")
-        .agg(*(F.sum(c).alias(c) for c in "abcd"))
-        .orderBy(F.xxhash64("w"), "w")
-        .limit(words)
-    )
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = list(batches)
-        w = [x for b in t for x in b.column(0).to_pylist()]
-        a, b, c, d = (np.concatenate([b.column(i).to_numpy() for b in t]) if t else np.zeros(0, np.int64) for i in range(1, 5))
-        del t
-        for x, y in ((c, d), (a, b), (a + c, b + d)):  # each half for the other one, then both
-            m = ClassModels({k: (i, j) for k, i, j in zip(w, x.tolist(), y.tolist(), strict=True) if i or j})
-            yield pa.RecordBatch.from_arrays([pa.array([m.dump()], pa.binary())], ["m"])
-
-    blobs = [r[0] for r in counted.coalesce(1).mapInArrow(build, "m binary").collect()]  # three models, bounded by ``words``
-    if not blobs:  # no labelled document is in the table
-        return None
-    if len(blobs) != 3:
-        raise RuntimeError(f"{len(blobs)} of 3 models have arrived")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(blobs[:2])
-
-    names = [f"f{i}" for i in range(FEATURES)]
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(ClassModels.load(m)) for m in shared.value]
-        for x in batches:
-            t, half = x.column(0).cast(pa.binary()).to_pylist(), x.column(2).to_numpy()
-            f = np.zeros((len(t), FEATURES))
-            for h in (0, 1):
-                at = np.flatnonzero(half == h)
-                f[at] = scorers[h].features([t[i] for i in at])
-            yield pa.RecordBatch.from_arrays([x.column(1), *(pa.array(f[:, i]) for i in range(FEATURES))], ["y", *names])
-
-    seen = chosen.mapInArrow(describe, ", ".join(["y int", *(f"{n} double" for n in names)])).orderBy("y", *names).toArrow()
-    y = seen.column(0).to_numpy()
-    x = np.column_stack([seen.column(i).to_numpy() for i in range(1, FEATURES + 1)])
-    if y.min() == y.max():
+    of = lambda rows, y: rows.where(F.col("toxic") == y).orderBy("h", "doc_id", "t").limit(sample)
+    first = marked.withColumn("t", F.lit(0))
+    picked = of(first, 0).unionByName(of(first, 1)).select(F.col("doc_id").alias("i"), "toxic", "h")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("i")).select("text", "toxic", "h", "doc_id")  # 2 * sample ids
+    place = F.struct("h", "doc_id", F.xxhash64("text").alias("t"))
+    rows = found.where(F.octet_length("text") <= sample_bytes).mapInArrow(sketch, "text string, toxic int, h long, doc_id long, s0 long, s1 long").withColumn("at", place)
+    for s in ("s0", "s1"):
+        rows = rows.groupBy(s, "toxic").agg(F.min_by(F.struct("text", "at", "s1"), "at").alias("x")).select("toxic", "x.*")
+    rows = cut(rows.select("text", "toxic", "at.*"))
+    upto = F.sum(F.octet_length("text")).over(W.partitionBy("toxic").orderBy("h", "doc_id", "t").rowsBetween(W.unboundedPreceding, 0))
+    chosen = of(rows, 0).unionByName(of(rows, 1)).withColumn("_upto", upto).where(F.col("_upto") <= sample_bytes)
+    fitted = chosen.select("h", "doc_id", "t", "toxic", "text").coalesce(1).mapInArrow(_fit, "m binary, y int, x double").toArrow()
+    blobs = fitted.column(0).drop_null().to_pylist()
+    if len(blobs) != 1:
+        raise RuntimeError(f"{len(blobs)} models have arrived")
+    seen = fitted.filter(pc.is_valid(fitted.column(1))).select(["y", "x"])  # 2 * sample rows at most
+    y, x = seen.column(0).to_numpy(), seen.column(1).to_numpy()
+    if not len(y) or y.min() == y.max():
         return None
     share = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
-    shared.unpersist()
-    return blobs[2], fit_logistic(x, y, share * len(y) / share.sum())
+    return blobs[0], fit_logistic(x, y, share * len(y) / share.sum())
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """All columns of ``docs``, and _ql_score double and _ql_toxic boolean (score >= threshold).
 
-    The whole text is scored. Null and empty texts have no words: their features are 0. Where the
-    labels lack a class, every score is 0. Repeated rows score alike; an empty table gives no rows.
+    The score rises with the length-normalised difference alone, see Scorer.differences. The whole text is scored, however
+    long, batch by batch. Null and empty texts have no words: their difference is 0. Where the
+    labels lack a class, every score is 0. Repeated rows score alike; an empty table gives no rows. Columns of ``docs`` named
+    _ql_score or _ql_toxic are replaced.
     """
-    small_batches(docs.sparkSession)
+    docs = docs.drop("_ql_score", "_ql_toxic")
     fitted = train(docs, labels, sample)
     if fitted is None:
         return docs.withColumns({"_ql_score": F.lit(0.0), "_ql_toxic": F.lit(False)})
@@ -346,12 +328,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for b in batches:
+        for b in slices(batches, 64):
             own = own or Scorer(ClassModels.load(shared.value[0]), shared.value[1])
-            texts, s = b.column(at).cast(pa.binary()), []
-            for i in range(0, len(texts), 64):
-                s.append(own.scores(texts[i : i + 64].to_pylist()))
-            s = np.concatenate(s) if s else np.zeros(0)
+            s = own.scores(b.column(at).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(s >= threshold)], [*cols, "_ql_score", "_ql_toxic"])
 
     schema = StructType([*docs.schema.fields, StructField("_ql_score", DoubleType()), StructField("_ql_toxic", BooleanType())])
@@ -365,5 +344,5 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: i
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, all columns as they were."""
-    return score(docs, labels, threshold, sample).where(~F.col("_ql_toxic")).select(*docs.columns)
+    """The rows of ``docs`` that are not toxic, all columns as they were; rows and texts of any kind as in score()."""
+    return aside(docs, lambda d: score(d, labels, threshold, sample).where(~F.col("_ql_toxic")))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from quarryline.llm import decontaminate, mixing, sharding, simhash
@@ -142,11 +143,30 @@ def test_decontaminate_odd_rows(spark):
     assert decontaminate.redact(docs, bench).columns == docs.columns
 
 
-def test_mixing_targets():
-    assert mixing.targets({}) == {}
-    t = mixing.targets({"a": 100, "b": 100, None: 100, "c": 0})
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left, open_ = {}, share * sum(sizes.values()), list(names)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not full:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: most * sizes[s] for s in full}
+        left -= sum(out[s] for s in full)
+        open_ = [s for s in open_ if s not in full]
+    return out
+
+
+def targets(spark, sizes):
+    return {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, total long")).collect()}
+
+
+def test_mixing_targets(spark):
+    assert targets(spark, {}) == {}
+    t = targets(spark, {"a": 100, "b": 100, None: 100, "c": 0})
     assert t["c"] == 0 and abs(sum(t.values()) - 450) < 1e-9 and t["a"] == t[None] == 450 * 3 / 7  # c has no words: 3, 1 and 3 share
-    t = mixing.targets({"a": 10, "b": 1000})
+    t = targets(spark, {"a": 10, "b": 1000})
     assert t["a"] == 20 and abs(t["b"] - 1495) < 1e-9
 
 
@@ -163,7 +183,7 @@ def test_mixing_report(spark):
         target[s] = r.target
         most[s] = max(most[s], r["size"])
         assert r.taken in (0, r["size"], 2 * r["size"])
-    want = mixing.targets(dict(size))
+    want = brute_targets(dict(size))
     assert target == want
     for s in size:
         assert abs(taken[s] - target[s]) <= most[s] / 2 + 1e-6
@@ -179,6 +199,59 @@ def test_mixing_odd_rows(spark):
     assert mixing.apply(docs).columns == docs.columns
 
 
+def test_mixing_of_many_sources_is_joined_with_the_same_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.concat("source", F.col("doc_id") % 40))
+    a, b = (sorted(map(tuple, mixing.report(docs, broadcast_sources=n).collect())) for n in (1000, 0))
+    assert a == b and len(a) == 1000
+
+
+def test_mixing_shuffles_no_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (mixing.apply(docs), mixing.report(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_columns_begun_like_our_own_stay(spark):
+    odd = frame(spark, ODD).selectExpr("doc_id", "text", "'s' as source", "1 as _ql_size", "2 as _ql_hash", "3 as _ql_spans", "4 as _ql_in", "5 as _ql_row", "6 as _ql_toxic")
+    bench = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    for got in (mixing.apply(odd), simhash.dedup(odd), decontaminate.clean(odd, bench), decontaminate.redact(odd, bench)):
+        assert got.columns == odd.columns
+        assert {tuple(r)[2:] for r in got.collect()} == {("s", 1, 2, 3, 4, 5, 6)}
+
+
+def test_dedup_of_rows_that_share_an_id_goes_by_a_total_order(spark):
+    rows = [(1, "one two three four five", "b"), (1, "one two three four five", "a"), (1, "one two three four five", "a"), (2, "something else altogether", "c"), (3, "something else altogether", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    got = {tuple(sorted(map(tuple, simhash.dedup(df.repartition(n)).collect()))) for n in (1, 2, 5)}
+    assert len(got) == 1 and [r[0] for r in got.pop()] == [1, 2]
+
+
+def test_tree_weights(spark):
+    for shards in (((0, 0.0), (1, 1.0)), ((0, -1.0),), ((0, 1.0), (0, 1.0)), ()):
+        with pytest.raises(ValueError):
+            sharding.Tree(((shards,),))
+    docs = spark.range(4000).selectExpr("id as doc_id", "'x' as text")
+    of = lambda w: {r.doc_id: r.shard for r in sharding.shard(docs, sharding.Tree(((((0, 1.0), (1, w)), ((2, 1.0), (3, 1.0))), (((4, 3.0),),)))).collect()}
+    even, heavy = of(1.0), of(3.0)
+    moved = [(even[i], heavy[i]) for i in even if even[i] != heavy[i]]
+    # within the rack, and into the rack and the region whose weights grew, into shard 1 or along with its rack
+    assert moved and all(b in (0, 1) or (a == 4 and b in (2, 3)) for a, b in moved)
+    assert abs(sum(s == 4 for s in even.values()) / 4000 - 3 / 7) < 0.03 and abs(sum(s == 1 for s in heavy.values()) / 4000 - 3 / 9) < 0.03
+
+
+def test_many_copies_of_a_row_take_following_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    df = spark.createDataFrame([(5, "copy")] * 100 + [(i, "own") for i in range(50)] + [(None, None)] * 30, "doc_id long, text string")
+    slots = defaultdict(list)
+    rows = sharding.shard(df).collect()
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 180 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    again = sharding.shard(df.repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
 def test_sharding(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(frame(spark, ODD).drop("fp", "_size", "shard"))
     text = defaultdict(list)

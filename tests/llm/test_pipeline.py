@@ -9,9 +9,9 @@ import corpus_pipeline
 import duckdb
 import pandas as pd
 import pytest
-from test_hashing_operators import brute_components, brute_fp, brute_hits
+from test_hashing_operators import brute_components, brute_fp, brute_hits, brute_targets
 
-from quarryline.llm import mixing, queries, toxicity
+from quarryline.llm import queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,7 +44,7 @@ def brute_copies(docs):
     total = Counter()
     for i, (s, _) in docs.items():
         total[s] += words[i]
-    target = mixing.targets(dict(total))
+    target = brute_targets(dict(total))
     h = {i: digits(f"{i}:{hashlib.md5((t or '').encode()).hexdigest()}", 15) for i, (_, t) in docs.items()}
     out = {}
     for s in total:
