@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import cut, passes, sieve
 
-#: Lines of fewer words are left alone.
+#: Lines of fewer words go as exact copies only: one word of them is more than a fifth.
 LEAST = 5
+#: Words of a line whose running sums are made together.
+BLOCK = 256
 
 
-def normal(line: Column) -> Column:
-    """A line's words, lower-cased, with one blank between two; words are parted by ASCII white space. The pattern leaves
-    single blanks alone, so that most lines stay as they are."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+def normal(text: Column) -> Column:
+    """Words lower-cased, with one blank between two, in the lines of a text; words are parted by ASCII white space. The pattern leaves
+    single blanks alone, so that most lines stay as they are. A line may still begin and end with a blank."""
+    return F.regexp_replace(F.lower(text), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
 
 
 def _key(tag: str, *parts: Column) -> Column:
@@ -31,23 +35,42 @@ def _raw(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, row, pos, w, n): the lines of ``least`` words at least. The words are made inside the generator, so that
-    they are made once."""
-    each = F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("pos", "w")
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), each).withColumn("n", _count(F.col("w"))).where((F.col("n") >= least) & (F.col("w") != ""))
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, pos, w, n): the lines with a word, their words and how many."""
+    each = F.posexplode(F.split(normal(F.col("text")), "\n")).alias("pos", "w")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), each).withColumn("w", F.trim("w")).where(F.col("w") != "")
+    return lines.withColumn("n", _count(F.col("w")))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(hashes: Column, n: Column) -> Column:
+    """Exclusive-or of the first hashes, for each number of them: (base, inside), sums up to each block and sums within it. Blocks
+    keep the arrays that grow short, so that a line costs little more than its length."""
+    grow = lambda xs, of: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1).bitwiseXOR(of(x))))
+    blocks = lambda hs: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: grow(F.slice(hs, b * BLOCK + 1, F.lit(BLOCK)), lambda h: h))
+    return _let(_let(hashes, blocks), lambda inside: F.struct(grow(inside, lambda x: F.element_at(x, -1)).alias("base"), inside.alias("inside")))
+
+
+def _first(sums: Column, i: Column) -> Column:
+    """Of running sums that of the first ``i`` hashes."""
+    block = F.floor(i / BLOCK).cast("int")
+    return F.get(sums["base"], block).bitwiseXOR(F.coalesce(F.get(F.get(sums["inside"], block), i % BLOCK), F.lit(0).cast("long")))
 
 
 def _deletions(word: Column, n: Column, first: Column, last: Column) -> Column:
     """(i, rest) for each place i from first to last: a hash of the words but the i-th. It is the sum without carry of
     hashes of all words with their places, those after i one place further up; the whole line has n as its i."""
     at = lambda shift: F.transform(word, lambda w, k: F.xxhash64(w, k - shift))
-    grow = lambda hashes: F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda a, h: F.array_append(a, F.element_at(a, -1).bitwiseXOR(h)))
-    sums = F.struct(grow(at(0)).alias("here"), grow(at(1)).alias("up"))
-    each = lambda s, i: F.element_at(s["here"], i + 1).bitwiseXOR(F.element_at(s["up"], n + 1)).bitwiseXOR(F.element_at(s["up"], i + 2))
+    sums = F.struct(_running(at(0), n).alias("here"), _running(at(1), n).alias("up"))
+    each = lambda s, i: _first(s["here"], i).bitwiseXOR(s["all"]).bitwiseXOR(_first(s["up"], i + 1))
     places = lambda s: F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("i"), each(s, i).alias("rest")))
-    whole = lambda s: F.array(F.struct(n.alias("i"), F.element_at(s["here"], n + 1).alias("rest")))
-    return F.element_at(F.transform(F.array(sums), lambda s: F.concat(places(s), whole(s))), 1)
+    whole = lambda s: F.array(F.struct(n.alias("i"), _first(s["here"], n).alias("rest")))
+    total = lambda s: F.struct(s["here"].alias("here"), s["up"].alias("up"), _first(s["up"], n).alias("all"))
+    return _let(sums, lambda s: _let(total(s), lambda t: F.concat(places(t), whole(t))))
 
 
 def edit_at_most_one(a: Column, b: Column) -> Column:
@@ -66,8 +89,8 @@ def edit_at_most_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, row, pos, k) of ``docs`` with a key by their words, and the keys (gone) of lines that an
-    earlier different line is within one edit of.
+    """All lines with a word (doc_id, row, pos, k) of ``docs`` with a key by their words, and the keys (gone) of lines that an
+    earlier different line is within one edit of, both of ``least`` words at least.
 
     Different lines that share no half with another one are left out first: of two lines within one
     edit, the first halves or the second halves are the same, up to a word at the border. The others emit the
@@ -75,14 +98,15 @@ def near_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     deletion of that word at the same place; a line with one word more shares a deletion with the whole shorter line.
     So each bucket needs only its earliest lines, not its pairs. The words of the two are then compared.
     """
-    source = _lines(docs, least)
+    source = _lines(docs)
     n = F.col("n")
     long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     front = lambda k: F.xxhash64(F.lit("front"), k, F.call_function("substring_index", F.col("w"), F.lit(" "), k))
     back = lambda k: F.xxhash64(F.lit("back"), k, F.call_function("substring_index", F.col("w"), F.lit(" "), -k))
-    second = lambda f: F.when(long != short, f(short))
+    whole = n >= least
+    second = lambda f: F.when(whole & (long != short), f(short))
     place = F.struct("doc_id", "row", "pos")
-    lines = cut(source.select("doc_id", "row", "pos", _key("line", F.col("w")).alias("k"), front(long).alias("f0"), second(front).alias("f1"), back(long).alias("b0"), second(back).alias("b1")))
+    lines = cut(source.select("doc_id", "row", "pos", _key("line", F.col("w")).alias("k"), F.when(whole, front(long)).alias("f0"), second(front).alias("f1"), F.when(whole, back(long)).alias("b0"), second(back).alias("b1")))
     halves = lines.select("k", "doc_id", "row", "pos", F.explode(F.array(*(F.struct(F.col(c).alias("half"), F.lit(c[0]).alias("side")) for c in ("f0", "f1", "b0", "b1")))).alias("x"))
     halves = halves.select("k", "doc_id", "row", "pos", "x.*").where("half is not null")
     # a half of different lines: its smallest and its largest key differ
@@ -91,7 +115,7 @@ def near_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     maybe = cut(near.groupBy("k").agg(F.min(place).alias("at"), F.max(F.col("side") == "f").alias("front"), F.max(F.col("side") == "b").alias("back")))
     named = maybe.select("at.*", "at", "front", "back").withColumn("h", F.xxhash64("doc_id", "row", "pos"))
     raw = passes(_raw(docs), F.xxhash64("doc_id", "row", "pos"), sieve(named, "h")).where("_in")
-    there = raw.select("doc_id", "row", "pos", F.explode(F.array(normal(F.col("line")))).alias("w"))
+    there = raw.select("doc_id", "row", "pos", F.explode(F.array(F.trim(normal(F.col("line"))))).alias("w"))
     same = [there[c].eqNullSafe(named[c]) for c in ("doc_id", "row", "pos")]
     found = there.join(named, (F.xxhash64(there["doc_id"], there["row"], there["pos"]) == named["h"]) & same[0] & same[1] & same[2])
     candidates = cut(found.select("at", "w", _count(F.col("w")).alias("n"), "front", "back").distinct())
@@ -123,12 +147,17 @@ def near_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with _ql_lines int, _ql_removed int, and text without the lines that stand earlier in the table already.
 
-    Lines are parted by \\n. A line of ``least`` words or more goes if the same words, or words within
-    one insertion, deletion or replacement of a word, whatever the length of the line, stand earlier: in a smaller
-    doc_id (null first), or further up in the same text; whether that line itself stays doesn't matter.
-    Other lines stay as they are. Repeated rows are one document and change alike; texts of one
-    doc_id are ordered by their hash. A null text stays null with 0 lines. An empty table gives no rows.
+    Lines are parted by \\n. A line with a word goes if the same words stand earlier: in a smaller
+    doc_id (null first), or further up in the same text. A line of ``least`` words or more also goes if a line of ``least`` words or more
+    within one insertion, deletion or replacement of a word, whatever its length, stands earlier. Whether the earlier line itself
+    stays doesn't matter. Lines without a word stay as they are. Repeated rows are one document and change alike; texts of one
+    doc_id are ordered by their hash. A null text stays null with 0 lines. An empty table gives no rows. Texts and lines may be very
+    long: the work grows with their length. Columns of ``docs`` named _ql_lines or _ql_removed are replaced, others begun by _ql_
+    or _ stay.
     """
+    docs = docs.drop("_ql_lines", "_ql_removed")
+    names, own = docs.columns, [f"own{c}" if c.startswith("_") else c for c in docs.columns]
+    docs = docs.toDF(*own)
     lines, near = near_lines(docs, least)
     place = F.struct("doc_id", "row", "pos")
     copied = lines.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -142,9 +171,11 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     joined = touched.join(by_doc, touched["doc_id"].eqNullSafe(by_doc["_ql_id"]) & (F.xxhash64(touched["text"]) == by_doc["_ql_row"]), "left").drop("_ql_id", "_ql_row")
     found = sieved.where("not _in").drop("_in").withColumn("_ql_gone", F.lit(None).cast("array<int>")).unionByName(joined)
     split = F.split("text", "\n")
-    kept = F.when(F.col("_ql_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_ql_gone", i)), "\n"))
+    # positions are taken from each other as sets, so many removed lines cost no more than many lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_ql_gone")
+    kept = F.when(F.col("_ql_gone").isNull(), F.col("text")).otherwise(F.array_join(_let(split, lambda ls: F.transform(stay, lambda i: F.get(ls, i))), "\n"))
     return found.select(
-        *(kept.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(kept.alias(name) if c == "text" else F.col(c).alias(name) for c, name in zip(own, names, strict=True)),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("_ql_lines"),
         F.coalesce(F.when(F.col("_ql_gone").isNotNull(), F.size("_ql_gone")), F.lit(0)).alias("_ql_removed"),
     )

@@ -136,11 +136,11 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line, list_filter(regexp_split_to_array(lower(ls[i]), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
-k AS (SELECT w, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE len(w) >= 5 GROUP BY w),
-v AS (SELECT first, w, len(w) AS n, i, list_concat(w[1:i - 1], w[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM k)),
+k AS (SELECT w, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT first, w, len(w) AS n, i, list_concat(w[1:i - 1], w[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM k WHERE len(w) >= 5)),
 g AS (SELECT DISTINCT a.first FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i AND a.n = b.n AND b.first < a.first
-      UNION SELECT DISTINCT a.first FROM v a JOIN k b ON a.rest = b.w AND b.first < a.first
-      UNION SELECT DISTINCT a.first FROM k a JOIN v b ON a.w = b.rest AND b.first < a.first),
+      UNION SELECT DISTINCT a.first FROM v a JOIN k b ON a.rest = b.w AND len(b.w) >= 5 AND b.first < a.first
+      UNION SELECT DISTINCT a.first FROM k a JOIN v b ON a.w = b.rest AND len(a.w) >= 5 AND b.first < a.first),
 o AS (SELECT l.doc_id, l.pos, l.line, k.first IS NOT NULL AND (k.first <> {'d': l.doc_id, 'p': l.pos} OR g.first IS NOT NULL) AS gone
       FROM l LEFT JOIN k ON l.w = k.w LEFT JOIN g ON k.first = g.first)
 SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (gone)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text

@@ -71,11 +71,11 @@ def brute_lines(docs, least=5):
         parts = t.split("\n")
         for line in parts:
             w = re.findall(r"[^ \t\n\v\f\r]+", line.lower())
-            if len(w) >= least and any(near(w, v) for v in seen):
+            if w and any(near(w, v) if min(len(w), len(v)) >= least else w == v for v in seen):
                 removed += 1
             else:
                 kept.append(line)
-            if len(w) >= least and w not in seen:
+            if w and w not in seen:
                 seen.append(w)
         out[d, t] = (len(parts), removed, "\n".join(kept))
     return sorted(((d, *out[d, t]) if t is not None else (d, 0, 0, None) for d, _, t in docs), key=str)
@@ -91,7 +91,7 @@ def near(a, b):
 
 
 def run(spark, docs):
-    df = spark.createDataFrame([(d, t, "a", 1, "k") for d, t in docs], "doc_id long, text string, row string, pos int, w string")
+    df = spark.createDataFrame([(d, t, "a", 1, "k", 5, 6) for d, t in docs], "doc_id long, text string, row string, pos int, w string, _in int, _ql_gone int")
     hashes = [r.h for r in df.select(F.xxhash64("text").alias("h")).collect()]
     want = brute_lines([(d, h, t) for (d, t), h in zip(docs, hashes, strict=True)])
     got = sorted((tuple(r) for r in lines.report(df).collect()), key=str)
@@ -130,6 +130,10 @@ def test_line_dedup_odd_rows(spark):
         (4, "null id comes first here"), (5, "a b c d"), (6, "a b c d"), (7, long), (8, long + " x"), (9, "\n\n"), (10, "Ä b c d é"), (11, "ä b c d É f"),
     ]
     run(spark, docs)
+    many = "\n".join(f"line {i % 50_000}" for i in range(100_000))
+    wide = " ".join(f"w{i}" for i in range(200_000))
+    got = {r.doc_id: r for r in lines.report(spark.createDataFrame([(1, many), (2, wide), (3, wide + " x"), (4, wide[:-9] + " y")], "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 50_000 and got[2].n_removed == 0 and got[3].n_removed == 1 and got[4].n_removed == 0
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
