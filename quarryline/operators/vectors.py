@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,15 +39,26 @@ def within(hits: DataFrame, max_distance: float) -> DataFrame:
     return hits.where(F.coalesce("distance", F.lit(0.0)) <= max_distance)
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Bytes of queries that one scan of the vectors is compared with; they are sent to the executors.
+TILE_BYTES = 8 << 20
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(q, vec_id, distance, rank) of the k nearest vectors of each query (q, query), ties by vec_id.
 
-    Exact search compares every query with every vector. The rank filter becomes a group limit below the shuffle, so each
-    task sends k rows for each query at most.
+    Exact search compares every query with every vector: queries are dealt into tiles of about ``tile_bytes`` bytes by a hash of q, and each
+    tile is sent to the tasks that scan the vectors. The rank filter becomes a group limit below the shuffle, so each task
+    sends k rows for each query at most.
     """
-    pairs = vectors.crossJoin(queries).select("q", "vec_id", l2(F.col("embedding"), F.col("query")).alias("distance"))
+    size = queries.agg(F.sum(F.size("query") * 8 + 16)).first()[0] or 0
+    tiles = -(-size // tile_bytes) or 1
     rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def nearest(tile: DataFrame) -> DataFrame:
+        pairs = vectors.crossJoin(F.broadcast(tile)).select("q", "vec_id", l2(F.col("embedding"), F.col("query")).alias("distance"))
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [nearest(queries.where(F.pmod(F.xxhash64("q"), F.lit(tiles)) == i)) for i in range(tiles)])
 
 
 def with_documents(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

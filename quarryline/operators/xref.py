@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NOT_IN_TABLE, UNKNOWN = "(not in tag table)", "?"
@@ -132,7 +131,3 @@ def ordered_targets(moves: DataFrame) -> DataFrame:
     """moves (screen, pos, dst): by screen all targets in order, with repeats."""
     w = F.array_sort(F.collect_list(F.struct("pos", "dst")))
     return moves.groupBy("screen").agg(F.transform(w, lambda x: x["dst"]).alias("targets"))
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(W.orderBy(*order)) - 1)

@@ -60,6 +60,27 @@ def b2(spark, d):
     return p.select("name", F.coalesce("number", F.lit("-")).alias("number"), F.col("error").isNotNull().alias("broken"), refs.alias("refs"), F.coalesce("code", F.lit("-")).alias("code"))
 
 
+@query("b40_code_text", "SELECT 'B' || p_partkey AS name, CASE WHEN p_size % 2 = 1 THEN 'x := ' || p_partkey || ';' || chr(10) || 'y();' ELSE '#a' || chr(10) || ' ' || p_brand || ';' END AS code FROM part")
+def b40(spark, d):
+    """Blocks as plain text (odd sizes) and as tokens, with blanks at their ends."""
+    plain = _text("\n  x := ", _key(), ";\ny();  \n")
+    tokens = _text('<NewLine/><Access Scope="LocalVariable"><Symbol><Component Name="a"/></Symbol></Access><NewLine/><Blank/><Token Text="', F.col("p_brand"), '"/><Token Text=";"/><Blank Num="3"/>')
+    xml = _text(
+        '<Document><SW.Blocks.FC ID="0"><AttributeList><Name>B', _key(), "</Name><Number>1</Number><ProgrammingLanguage>SCL</ProgrammingLanguage></AttributeList><ObjectList><SW.Blocks.CompileUnit><AttributeList><NetworkSource><StructuredText>",
+        F.when(F.col("p_size") % 2 == 1, plain).otherwise(tokens), "</StructuredText></NetworkSource></AttributeList></SW.Blocks.CompileUnit></ObjectList></SW.Blocks.FC></Document>",
+    )
+    files = table(spark, d, "part").select(_text("/x/f", _key(), ".xml").alias("path"), xml.cast("binary").alias("content"))
+    return blocks.parse_blocks(files).select("name", "code")
+
+
+@query("a3_pdf_pages", "SELECT doc_id, page, text FROM (SELECT doc_id, 1 AS page, source AS text FROM documents UNION ALL SELECT doc_id, 3, lang FROM documents)")
+def a3(spark, d):
+    """Pages by a reader for a suffix (here one that parts at form feeds): blank pages are left out and keep their numbers."""
+    content = F.concat("source", F.lit("\f \f"), "lang").cast("binary")
+    files = table(spark, d, "documents").select(F.concat(F.lit("/p/"), F.col("doc_id").cast("string"), F.lit(".PDF")).alias("path"), F.col("doc_id").cast("string").alias("name"), content.alias("content"))
+    return documents.pages(files, {".pdf": lambda b: b.decode().split("\f")}).select(F.col("name").cast("long").alias("doc_id"), "page", "text")
+
+
 @query("b23_interface_counts", "SELECT 'B' || p_partkey AS name, 3 AS variables FROM part WHERE p_size > 2")
 def b23(spark, d):
     return blocks.interface_counts(blocks.parse_blocks(block_files(spark, d)).where("error is null"))

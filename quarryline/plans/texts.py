@@ -1,5 +1,7 @@
 """Text, file and command queries over `documents`, `pages`, `conversations` and `part`."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarryline.functions import chunker, commands, embedder, toolcalls
@@ -223,6 +225,41 @@ def g2(spark, d):
     return docs(spark, d).select("doc_id", _joined(commands.write_reasons(cmd)).alias("writes"), _joined(commands.risk_reasons(cmd)).alias("risks"))
 
 
+def _example(pattern: str) -> str:
+    """A command that a rule's pattern matches."""
+    spelt = {r"\b": "", r"\s+": " ", r"\s*": " ", r"\s": " ", ".*": "x ", r"\w+": "w", r"['\"]?": "", "[^`]+": "x", "^": "", "?": "", r"\.": ".", r"\$": "$", r"\|": "|"}
+    out = re.sub(r"(?<!\\)\(([^|)]*)\|[^)]*\)", r"\1", pattern)
+    for part, text in spelt.items():
+        out = out.replace(part, text)
+    return re.sub(r"\[(.)[^\]]*\]", r"\1", out).replace("\\(", "(") + " "
+
+
+_RULES = [*commands.COMMON_RULES, *commands.UNIX_RULES, *commands.WINDOWS_RULES]
+_EXAMPLES = [_example(p) for p, _ in _RULES] + ["ls -l > x", "# a > b", "ls"]
+
+
+def _values(rows) -> str:
+    text = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({', '.join(map(text, r))})" for r in rows) + ")"
+
+
+@query(
+    "g2_write_rules",
+    f"""WITH c(k, cmd) AS {_values(enumerate(_EXAMPLES))}, d AS (SELECT doc_id, cmd FROM documents JOIN c ON doc_id % {len(_EXAMPLES)} = k),
+         common(o, p, r) AS {_values((i, *x) for i, x in enumerate(commands.COMMON_RULES))}, unix(o, p, r) AS {_values((i, *x) for i, x in enumerate(commands.UNIX_RULES))},
+         win(o, p, r) AS {_values((i, *x) for i, x in enumerate(commands.WINDOWS_RULES))},
+         w AS (SELECT doc_id, CASE WHEN NOT starts_with(trim(cmd), '#') AND (regexp_matches(trim(cmd), '[^-=]>') OR starts_with(trim(cmd), '>')) THEN '{commands.REDIRECTION}' END AS a,
+                      (SELECT arg_min(r, o) FROM common WHERE regexp_matches(cmd, p, 'i')) AS b, (SELECT arg_min(r, o) FROM unix WHERE regexp_matches(cmd, p)) AS u,
+                      (SELECT arg_min(r, o) FROM win WHERE regexp_matches(cmd, p, 'i')) AS v FROM d)
+         SELECT doc_id, concat_ws('|', a, b, CASE WHEN u IS DISTINCT FROM b THEN u END) AS on_unix, concat_ws('|', a, b, CASE WHEN v IS DISTINCT FROM b THEN v END) AS on_windows FROM w""",
+)
+def g2_rules(spark, d):
+    """A command for each rule of each table, dealt over the documents."""
+    cmd = F.element_at(F.array(*[F.lit(x) for x in _EXAMPLES]), (F.col("doc_id") % len(_EXAMPLES) + 1).cast("int"))
+    given = docs(spark, d).select("doc_id", cmd.alias("cmd"))
+    return given.select("doc_id", _joined(commands.write_reasons(F.col("cmd"))).alias("on_unix"), _joined(commands.write_reasons(F.col("cmd"), windows=True)).alias("on_windows"))
+
+
 @query(
     "e10_tool_calls",
     """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'n1:{"a": 1}' WHEN 'assistant' THEN 'n2:5' ELSE '' END AS calls,

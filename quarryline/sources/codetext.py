@@ -127,7 +127,8 @@ class Writer:
 
 
 def structured_text(node: ET.Element) -> str:
-    return Writer(statements=False).tokens(node)
+    """The code of a text block: its tokens, or its own text where it has none, as older exports write it; ends are trimmed."""
+    return (Writer(statements=False).tokens(node) if len(node) else node.text or "").strip()
 
 
 def statement_list(node: ET.Element) -> str:

@@ -11,8 +11,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quarryline").rstrip("/")
+    """spark.checkpoint.dir; where the session names none, a folder of the user's home in the default file system."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    return f"{files.getHomeDirectory()}/.quarryline"
 
 
 def cut(df: DataFrame) -> DataFrame:
