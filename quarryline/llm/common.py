@@ -18,11 +18,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where the session names none, a folder of the user's home in the
-    default file system, which is the shared store of a cluster."""
+    default file system, the shared store of a cluster; one of our own where that is a single machine's."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
-    return f"{files.getHomeDirectory()}/.quarryline"
+    home = files.getHomeDirectory()
+    # a local default file system is that of one machine, as in tests
+    return "file:///tmp/checkpoints/quarryline" if home.toUri().getScheme() == "file" else f"{home}/.quarryline"
 
 
 def cut(df: DataFrame) -> DataFrame:
