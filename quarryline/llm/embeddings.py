@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import components, cut
+from quarryline.llm.common import aside, components, cut
 from quarryline.llm.hnsw import Hnsw
 from quarryline.llm.simhash import forest
 
-#: Shards at least, and vectors that a shard's graph holds at most (about; they are dealt by hash).
-SHARDS, SHARD_ROWS = 4, 250_000
-#: Vectors asked for in one task, and bytes of a piece of a stored graph.
-BLOCK, PIECE = 8192, 8 << 20
+#: Shards at least, and bytes of vectors in double precision that a shard holds at most (about; they are dealt by hash).
+SHARDS, SHARD_BYTES = 4, 128 << 20
+#: Vectors asked for at a time, and bytes of a piece of a stored graph.
+BLOCK, PIECE = 8192, 4 << 20
+#: Tasks that share a shard's queries, at least where there are so many queries; beyond that as many as there are shards.
+BLOCKS = 8
 #: Beam to begin with; queries audited against brute force at a time in each task; mean recall of a query's links to reach.
 BEAM, AUDIT, RECALL = 16, 256, 0.999
 #: Audited queries that have a link to another vector, before a recall counts.
@@ -104,37 +107,67 @@ def _exact(x: np.ndarray, index: np.ndarray, q: np.ndarray, i: np.ndarray, least
     return q[keep], i[keep]
 
 
+def _answers(graph: Hnsw, index: np.ndarray, rep: np.ndarray, mult: np.ndarray, asked: pa.Table, least: float) -> pa.RecordBatch:
+    """Counts of links (a, null, n), and the links as a forest (a, b, 0): as many edges as vertices at most."""
+    own = asked.column("rep").to_numpy()
+    q, i, _, _ = search(_matrix(asked.column("embedding")), graph, index, least, own, rep)
+    other = rep[i] != own[q]
+    q, i = q[other], i[other]
+    n = np.bincount(q, weights=mult[i], minlength=len(own)).astype(np.int64)
+    ids, at = np.unique(np.concatenate((own[q], rep[i])), return_inverse=True)
+    top = forest(len(ids), at[: len(q)], at[len(q) :])
+    edge = np.flatnonzero(top != np.arange(len(ids)))
+    some = np.flatnonzero(n)
+    size = len(some) + len(edge)
+    b = pa.array(np.concatenate((np.zeros(len(some), np.int64), ids[top[edge]])), mask=np.arange(size) < len(some))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate((own[some], ids[edge]))), b, pa.array(np.concatenate((n[some], np.zeros(len(edge), np.int64))))], ["a", "b", "n"]
+    )
+
+
 def _ask(least: float):
-    def ask(queries: pa.Table, pieces: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not len(queries) or not len(pieces):
-            return empty
-        pieces = pieces.sort_by("piece")
-        index, links, level, rep, mult = pickle.loads(b"".join(pieces.column("data").to_pylist()))
-        graph = Hnsw.__new__(Hnsw)
-        graph.x, graph.links, graph.level = index.astype(np.float32), links, level
-        own = queries.column("rep").to_numpy()
-        q, i, _, _ = search(_matrix(queries.column("embedding")), graph, index, least, own, rep)
-        other = rep[i] != own[q]
-        q, i = q[other], i[other]
-        n = np.bincount(q, weights=mult[i], minlength=len(own)).astype(np.int64)
-        # the links of this task as a forest: as many edges as vertices at most
-        ids, at = np.unique(np.concatenate((own[q], rep[i])), return_inverse=True)
-        top = forest(len(ids), at[: len(q)], at[len(q) :])
-        edge = np.flatnonzero(top != np.arange(len(ids)))
-        some = np.flatnonzero(n)
-        return pa.table(
-            {
-                "a": pa.array(np.concatenate((own[some], ids[edge]))),
-                "b": pa.array(np.concatenate((np.zeros(len(some), np.int64), ids[top[edge]])), mask=np.arange(len(some) + len(edge)) < len(some)),
-                "n": pa.array(np.concatenate((n[some], np.zeros(len(edge), np.int64)))),
-            }
-        )
-
-    return ask
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Rows in order of (dim, shard, block): the pieces of the shard's graph first, then the block's queries, which pass through
+    ``BLOCK`` at a time. A task holds one graph and so many queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pieces, graph, held = None, [], None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield _answers(*graph, pa.Table.from_batches(held), least)
+                held.clear()
+
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in ("dim", "shard", "block", "asks")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == stop:
+                    continue
+                if key != (now := tuple(marks[:3, start])):
+                    yield from flush()
+                    key, pieces, graph = now, [], None
+                if not marks[3, start]:
+                    pieces += b.column("data").slice(start, stop - start).to_pylist()
+                    continue
+                if graph is None and not pieces:  # no vector of this length is in the shard
+                    continue
+                if graph is None:
+                    index, links, level, rep, mult = pickle.loads(b"".join(pieces))
+                    pieces, net = [], Hnsw.__new__(Hnsw)
+                    net.x, net.links, net.level = index.astype(np.float32), links, level
+                    graph = net, index, rep, mult
+                while start < stop:
+                    room = min(stop - start, BLOCK - sum(x.num_rows for x in held))
+                    held.append(b.select(["rep", "embedding"]).slice(start, room))
+                    start += room
+                    if sum(x.num_rows for x in held) == BLOCK:
+                        yield from flush()
+        yield from flush()
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding, ...).
 
     n_links: other vectors with a cosine of at least ``least`` in double precision; component_id: the
@@ -145,26 +178,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = SHARD
     table gives no rows; further columns are ignored.
 
     Equal vectors are one class, which is indexed once and counts as often as it has ids. The classes
-    are dealt into shards by hash; each class is asked of every shard's graph.
+    are dealt into shards by hash; each class is asked of every shard's graph. A shard's graph goes to as many tasks as share its
+    queries: ``BLOCKS``, or as many as there are shards, so that graphs are copied no more often than queries.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     good = rows.where("ok").select("vec_id", "embedding").distinct()
     classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")).withColumn("h", F.xxhash64("embedding")))
-    n = classes.count()
-    s = max(shards, -(-n // shard_rows))
+    n, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    s = max(shards, -(-8 * size // shard_bytes))
     placed = classes.select(F.size("embedding").alias("dim"), "embedding", "rep", "mult", "h")
     index = cut(
         placed.withColumn("shard", F.pmod("h", F.lit(s)).cast("int"))
         .groupBy("dim", "shard")
         .applyInArrow(_build, "dim int, shard int, piece int, data binary")
     )
-    blocks = -(-n // BLOCK) or 1
-    block = F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("shard")
-    queries = placed.select("dim", "rep", "embedding", block.alias("block"), every)
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-    found = cut(queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_ask(least), "a long, b long, n long"))
+    blocks = min(-(-n // BLOCK), max(s, BLOCKS)) or 1
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    none = lambda c: F.lit(None).cast(placed.schema[c].dataType).alias(c)
+    queries = placed.select(
+        "dim", each(s).alias("shard"), F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("asks"),
+        F.lit(0).alias("piece"), F.lit(None).cast("binary").alias("data"), "rep", "embedding",
+    )
+    graphs = index.select("dim", "shard", each(blocks).alias("block"), F.lit(0).alias("asks"), "piece", "data", none("rep"), none("embedding"))
+    task = ["dim", "shard", "block"]
+    dealt = graphs.unionByName(queries).repartition(s * blocks, *task).sortWithinPartitions(*task, "asks", "piece", "rep")
+    found = cut(dealt.mapInArrow(_ask(least), "a long, b long, n long"))
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
     answer = (
@@ -180,7 +218,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = SHARD
 
 
 def dedup(vectors: DataFrame, least: float = 0.95) -> DataFrame:
-    """The rows of ``vectors`` that stay: one of each component, and all that link with nothing."""
-    keep = near_duplicates(vectors, least).where("kept").select(F.col("vec_id").alias("_keep")).distinct()
-    one = vectors.join(keep, F.col("vec_id") == F.col("_keep"), "left_semi").dropDuplicates(["vec_id"])
-    return one.unionByName(vectors.where("vec_id is null"))
+    """The rows of ``vectors`` that stay: one of each component, and all that link with nothing. Of several rows of one vec_id that
+    of the smallest hash of all its columns stays; rows with a null vec_id all stay."""
+
+    def kept(d: DataFrame) -> DataFrame:
+        keep = near_duplicates(d, least).where("kept").select(F.col("vec_id").alias("_ql_id")).distinct()
+        row = F.struct(*d.columns)
+        own = d.join(keep, d["vec_id"].cast("long") == F.col("_ql_id"), "left_semi")
+        one = own.groupBy("vec_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_ql_row")).select("_ql_row.*")
+        return one.unionByName(d.where("vec_id is null"))
+
+    return aside(vectors, kept)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.llm import embeddings
 from quarryline.llm.hnsw import Hnsw
@@ -115,3 +116,19 @@ def test_recall_is_that_of_a_query_and_not_of_all_links():
     q, i, _, _ = embeddings.search(x, graph, index, 0.95, asked, np.arange(len(index)))
     want = {tuple(p) for p in np.argwhere(x @ index.T >= 0.95)}
     assert set(zip(q.tolist(), i.tolist(), strict=True)) == want
+
+
+def test_many_shards_and_tasks_find_the_same_links(spark, monkeypatch):
+    x = clusters(8, [3, 60, 200], 700)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {i: (n, c) for i, (n, c) in brute(dict(enumerate(x))).items()}
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    got = embeddings.near_duplicates(df, shard_bytes=8 * 24 * 160).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_dedup_keeps_the_same_one_of_rows_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (1, [0.0, 1.0], "c"), (2, [1.0, 0.0], "d"), (None, None, "e"), (None, None, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, _ql_id string")
+    runs = [sorted(map(str, embeddings.dedup(d).collect())) for d in (df, df.repartition(5), df.orderBy(F.desc("_ql_id")))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 3
