@@ -45,12 +45,12 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _build(t: pa.Table) -> pa.Table:
-    """The graph of one shard, pickled and in pieces."""
+    """The graph of one shard and its vectors as they came, pickled and in pieces."""
     order = np.lexsort((t.column("rep").to_numpy(), t.column("h").to_numpy()))
     t = t.take(pa.array(order))
-    x = _matrix(t.column("embedding"))
-    graph = Hnsw(x)
-    blob = pickle.dumps((x, graph.links, graph.level, t.column("rep").to_numpy(), t.column("mult").to_numpy()))
+    vectors = t.column("embedding").combine_chunks()
+    graph = Hnsw(_matrix(vectors))
+    blob = pickle.dumps((vectors, graph.links, graph.level, t.column("rep").to_numpy(), t.column("mult").to_numpy()))
     pieces = [blob[i : i + PIECE] for i in range(0, len(blob), PIECE)]
     dim, shard = t.column("dim")[0].as_py(), t.column("shard")[0].as_py()
     return pa.table({"dim": pa.array([dim] * len(pieces), pa.int32()), "shard": pa.array([shard] * len(pieces), pa.int32()), "piece": pa.array(range(len(pieces)), pa.int32()), "data": pa.array(pieces, pa.binary())})
@@ -152,8 +152,8 @@ def _ask(least: float):
                 if graph is None and not pieces:  # no vector of this length is in the shard
                     continue
                 if graph is None:
-                    index, links, level, rep, mult = pickle.loads(b"".join(pieces))
-                    pieces, net = [], Hnsw.__new__(Hnsw)
+                    vectors, links, level, rep, mult = pickle.loads(b"".join(pieces))
+                    pieces, index, net = [], _matrix(vectors), Hnsw.__new__(Hnsw)
                     net.x, net.links, net.level = index.astype(np.float32), links, level
                     graph = net, index, rep, mult
                 while start < stop:
