@@ -112,6 +112,9 @@ def link(reps: DataFrame, distance: int = 4, blocks: int = BLOCKS, tile: int = T
     Each fingerprint is keyed by every mask; keys with one fingerprint are left out by a count.
     A key with more than ``tile`` fingerprints is dealt into tiles by a hash of the fingerprint, each
     pair of parts a task's group of its own: nothing is dropped, and no task holds more than two parts.
+
+    The counts are joined by sorting: the planner takes the keyed rows for no more than the file of ``reps``,
+    not for a row of each mask, and would send them all to the driver for a broadcast.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(distance, blocks)])
     keyed = reps.select("fp", "rep", F.posexplode(masks).alias("m", "mask")).select(
@@ -120,7 +123,7 @@ def link(reps: DataFrame, distance: int = 4, blocks: int = BLOCKS, tile: int = T
     several = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / tile).cast("int")
     dealt = (
-        keyed.join(several, "k")
+        keyed.join(several.hint("merge"), "k")
         .withColumn("parts", parts)
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import xxhash
 
 from quarryline.llm import decontaminate, mixing, sharding, simhash
+from quarryline.llm.common import cut
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp string, _size string, shard string"
@@ -78,6 +79,12 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_simhash_does_not_broadcast_a_row_of_each_mask(spark):
+    reps = cut(spark.range(5000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep")))
+    plan = simhash.link(reps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("tile", [512, 8])
 def test_simhash_links_dense_groups_and_chains(spark, tile):
     """A dense group of many different fingerprints, a chain, and random ones; small tiles split them."""
