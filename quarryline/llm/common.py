@@ -99,18 +99,27 @@ def passes(rows: DataFrame, h: Column, through: DataFrame) -> DataFrame:
     return joined.withColumn("_in", F.coalesce(inside, F.lit(False))).drop("_p", "_piece", "_bits")
 
 
+#: Rows up to which a side of a join may be broadcast, as the planner likes. It goes by the bytes of files, which are compressed.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of up to ``rows`` rows as a side of a join, which is not broadcast beyond BROADCAST_ROWS."""
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, component), component the smallest
     id reachable. Vertices without an edge to another are absent.
 
     Alternates the large-star and small-star steps until the edges stay the same; each round is
     joins and minima by key, so a hub costs a partial aggregate and a join that can be split.
-    Null ends and loops are ignored; no edges give no rows.
+    Null ends and loops are ignored; no edges give no rows. The driver holds no table of more than BROADCAST_ROWS rows.
     """
 
-    def star(e: DataFrame) -> DataFrame:
+    def star(e: DataFrame, rows: int) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        return e.join(least, "u")
+        return e.join(bounded(least, rows), "u")
 
     e = cut(
         edges.where("a is not null and b is not null and a <> b")
@@ -124,10 +133,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        s = star(large)
+        large = star(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        s = star(large, 2 * now[0])
         small = s.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(s.select("u", F.col("m").alias("v"))).distinct()
         before, e = e, cut(small)
         drop(before)
     tops = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops)
+    return bounded(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops), 2 * now[0])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import aside, components, cut, passes, sieve, slices
+from quarryline.llm.common import aside, bounded, components, cut, passes, sieve, slices
 
 BITS = 64
 BLOCKS = 7
@@ -184,12 +184,13 @@ def dedup(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) ->
     ids = near_duplicates(docs, distance, width, seed).where("doc_id is not null").groupBy("doc_id")
     decided = ids.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_ql_stays"), F.count("*").alias("_ql_n"))
     odd = cut(decided.where("not _ql_stays or _ql_n > 1").select(F.col("doc_id").alias("_ql_id"), "_ql_stays").withColumn("_ql_h", F.xxhash64("_ql_id")))
+    decisions = bounded(odd, odd.count())
 
     def kept(d: DataFrame) -> DataFrame:
         sieved = passes(d, F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.lit(0)), sieve(odd, "_ql_h"))
         plain = F.col("doc_id").isNull() | ~F.col("_in")
         rest = sieved.where(~plain).drop("_in")
-        rest = rest.join(odd, rest["doc_id"].cast("long") == odd["_ql_id"], "left").where(F.coalesce("_ql_stays", F.lit(True)))
+        rest = rest.join(decisions, rest["doc_id"].cast("long") == F.col("_ql_id"), "left").where(F.coalesce("_ql_stays", F.lit(True)))
         row = F.struct(*d.columns)
         again = rest.where("_ql_id is not null").groupBy("_ql_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_ql_row")).select("_ql_row.*")
         return sieved.where(plain).select(*d.columns).unionByName(rest.where("_ql_id is null").select(*d.columns)).unionByName(again)

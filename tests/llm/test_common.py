@@ -47,6 +47,23 @@ def test_loops_nulls_and_repeats(spark):
     assert components(spark, []) == {}
 
 
+def test_only_short_tables_are_broadcast(spark, monkeypatch):
+    rng, plans, cut = random.Random(5), [], common.cut
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(common, "cut", seen)
+    assert components(spark, edges) == brute(edges)
+    assert "BroadcastHashJoin" in "".join(plans)
+    plans.clear()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    assert components(spark, edges) == brute(edges)
+    assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
+
+
 class Session:
     """As much of a session as shared_dir() asks for."""
 

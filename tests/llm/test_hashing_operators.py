@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 import xxhash
 
-from quarryline.llm import decontaminate, mixing, sharding, simhash
+from quarryline.llm import common, decontaminate, mixing, sharding, simhash
 from quarryline.llm.common import cut
 
 SF = "/root/testdata/sf0.01"
@@ -79,6 +79,16 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_simhash_dedup_is_the_same_without_broadcasts(spark, monkeypatch):
+    rows = ODD + [(20 + i, "one two three four five", "a") for i in range(5)]
+    few = simhash.dedup(frame(spark, rows))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    many = simhash.dedup(frame(spark, rows))
+    joins = [x._jdf.queryExecution().executedPlan().toString() for x in (few, many)]
+    assert joins[1].count("BroadcastHashJoin") < joins[0].count("BroadcastHashJoin")  # the sieve's stay
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
 def test_simhash_does_not_broadcast_a_row_of_each_mask(spark):
     reps = cut(spark.range(5000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep")))
     plan = simhash.link(reps)._jdf.queryExecution().executedPlan().toString()
