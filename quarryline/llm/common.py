@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,11 +109,43 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return df.hint("merge") if rows > BROADCAST_ROWS else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task may hold to find components: 32 MB, and some 250 MB while it runs. Larger graphs go by rounds.
+ONE_TASK_LINKS = 2_000_000
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable from each of n vertices by the links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while True:  # pointer jumping
+            jumped = new[new]
+            if np.array_equal(jumped, new):
+                break
+            new = jumped
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all edges (u, v) at once."""
+    edges = pa.Table.from_batches(batches, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    ids, at = np.unique(np.concatenate([c.to_numpy() for c in edges.columns]), return_inverse=True)
+    top = ids[forest(len(ids), at[: len(edges)], at[len(edges) :])]
+    yield from slices(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(top)], ["id", "component"])]), 1 << 16)
+
+
+def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (id, component), component the smallest
     id reachable. Vertices without an edge to another are absent.
 
-    Alternates the large-star and small-star steps until the edges stay the same; each round is
+    Up to ``one_task`` different edges one task finds them, which spares the driver the jobs, plans and broadcasts of the rounds.
+    Beyond, alternates the large-star and small-star steps until the edges stay the same; each round is
     joins and minima by key, so a hub costs a partial aggregate and a join that can be split.
     Null ends and loops are ignored; no edges give no rows. The driver holds no table of more than BROADCAST_ROWS rows.
     """
@@ -126,6 +159,8 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    if one_task and (n := e.count()) <= one_task:
+        return bounded(e.coalesce(1).mapInArrow(_reached, "id long, component long"), 2 * n)
     seen = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

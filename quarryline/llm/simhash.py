@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import aside, bounded, components, cut, passes, sieve, slices
+from quarryline.llm.common import ONE_TASK_LINKS, aside, bounded, components, cut, forest, passes, sieve, slices
 
 BITS = 64
 BLOCKS = 7
@@ -60,25 +60,6 @@ def block_masks(distance: int, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n vertices by the links (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while True:  # pointer jumping
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        if np.array_equal(new, label):
-            break
-        label = new
-    return label
-
-
 def close_pairs(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within runs of equal keys whose fingerprints are close; a spanning set of them in
     long runs, so that a dense group gives a number of pairs in proportion to its size."""
@@ -163,7 +144,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     """
     prints = cut(fingerprints(docs, width, seed))
     reps = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(link(reps, distance))
+    found = components(link(reps, distance), ONE_TASK_LINKS)
     named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("c"))
     return prints.join(named, "fp", "left").select(
         "doc_id",

@@ -64,6 +64,25 @@ def test_only_short_tables_are_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in "".join(plans) and "Broadcast" not in "".join(plans)
 
 
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    rng, plans, cut = random.Random(7), [], common.cut
+    ids = rng.sample(range(10**12), 400)
+    edges = list(zip(ids, ids[1:201], strict=False)) + [(rng.choice(ids), -rng.choice(ids)) for _ in range(150)]
+    edges += [(1, 1), (None, 2), (3, None), *edges[:20]]
+
+    def seen(df):
+        plans.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(common, "cut", seen)
+    for one_task, rounds in ((10**6, False), (100, True)):
+        plans.clear()
+        rows = common.components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()
+        assert len(rows) == len({r.id for r in rows}) and {r.id: r.component for r in rows} == brute(edges)
+        assert (len(plans) > 1) == rounds
+    assert common.components(spark.createDataFrame([], "a long, b long"), 10).collect() == []
+
+
 class Session:
     """As much of a session as shared_dir() asks for."""
 

@@ -89,6 +89,20 @@ def test_simhash_dedup_is_the_same_without_broadcasts(spark, monkeypatch):
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
 
 
+def test_simhash_of_few_links_takes_no_rounds(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [*ODD, (20, long, "a"), (21, f"{long} x", "a"), (22, f"{long} y", "b")]
+    assert brute_fp(rows[-3][1]) != brute_fp(rows[-1][1])
+    want, written, cut_ = {}, [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: written.append(df) or cut_(df))
+    for bound in (simhash.ONE_TASK_LINKS, 0):
+        monkeypatch.setattr(simhash, "ONE_TASK_LINKS", bound)
+        written.clear()
+        want[bound] = sorted(map(str, simhash.near_duplicates(frame(spark, rows)).collect())), len(written)
+    (one, jobs), (rounds, more) = want.values()
+    assert one == rounds and jobs == 1 < more and sum("component_id=20)" in r for r in one) == 3
+
+
 def test_simhash_does_not_broadcast_a_row_of_each_mask(spark):
     reps = cut(spark.range(5000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep")))
     plan = simhash.link(reps)._jdf.queryExecution().executedPlan().toString()
